@@ -4,8 +4,8 @@ Adjacent symbol pairs whose concatenation is a piece wait in a heap ordered by s
 position; the best is merged and its new neighbours join the heap. No piece of the vocabulary holds
 a word mark behind another character (checked at load; else whole texts are one unit), so merges
 never cross the start of a run of marks: a text is the concatenation of independent units, and each
-distinct unit is encoded once per worker. `verify` compares the newly met units of an Arrow batch with the
-sentencepiece library, one call per text.
+new unit is encoded once per worker. With `verify`, all that was newly encoded in an Arrow batch is
+compared with the sentencepiece library.
 """
 
 from __future__ import annotations
@@ -21,7 +21,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MARK = "▁"
-MEMO, MEMO_CHARS = 1 << 18, 64  # entries of a worker's memo, and the longest unit that it keeps
+MEMO, MEMO_CHARS = 3 << 17, 64  # entries of a worker's memo (it has two), and the longest unit that it keeps
+SHORT, NEVER = 48, float("inf")
 
 
 def default_model() -> str:
@@ -48,19 +49,45 @@ class PieceModel:
             raise ValueError("only merge-type models with byte fallback and without unused pieces are supported")
         inner = re.compile(f"[^{MARK}]{MARK}")
         self.units = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+") if not any(inner.search(p) for p in self.id_of) else re.compile(r"(?s).+")
+        self.rank = {p: -self.scores[i] for p, i in self.id_of.items()}
+        self.bridged = {pair for p in self.id_of for pair in zip(p, p[1:], strict=False)}
         self.memo: dict[str, tuple[int, str, str]] = {}
+        self.old: dict[str, tuple[int, str, str]] = {}
+        self.unchecked: list[tuple[str, list[int]]] = []
 
     def encode_unit(self, unit: str) -> list[int]:
-        """The agenda over one unit of normalized text."""
-        id_of, scores = self.id_of, self.scores
+        """The agenda over one unit of normalized text: a heap, or for short units a list of the
+        pairs' ranks in the order of the text, whose first least entry is the head."""
+        symbols = self._merged_short(unit) if len(unit) <= SHORT else self._merged_long(unit)
+        out: list[int] = []
+        for s in symbols:
+            i = self.id_of.get(s)
+            out += [i] if i is not None else [self.byte_id[b] for b in s.encode()]
+        return out
+
+    def _merged_short(self, unit: str) -> list[str]:
+        rank, symbol = self.rank.get, list(unit)
+        agenda = [rank(a + b, NEVER) for a, b in zip(symbol, symbol[1:], strict=False)]
+        while agenda and (best := min(agenda)) != NEVER:
+            i = agenda.index(best)
+            del agenda[i]
+            symbol[i] += symbol.pop(i + 1)
+            if i:
+                agenda[i - 1] = rank(symbol[i - 1] + symbol[i], NEVER)
+            if i < len(agenda):
+                agenda[i] = rank(symbol[i] + symbol[i + 1], NEVER)
+        return symbol
+
+    def _merged_long(self, unit: str) -> list[str]:
+        rank = self.rank
         symbol: list[str | None] = list(unit)
         n = len(symbol)
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
         agenda: list[tuple[float, int, int, str]] = []
 
         def offer(left: int, right: int) -> None:
-            if left >= 0 and right < n and (i := id_of.get(both := symbol[left] + symbol[right])) is not None:
-                heapq.heappush(agenda, (-scores[i], left, right, both))
+            if left >= 0 and right < n and (r := rank.get(both := symbol[left] + symbol[right])) is not None:
+                heapq.heappush(agenda, (r, left, right, both))
 
         for i in range(n - 1):
             offer(i, i + 1)
@@ -74,12 +101,7 @@ class PieceModel:
                 before[after[right]] = left
             offer(before[left], left)
             offer(left, after[left])
-        out: list[int] = []
-        for s in symbol:
-            if s is not None:
-                i = id_of.get(s)
-                out += [i] if i is not None else [self.byte_id[b] for b in s.encode()]
-        return out
+        return [s for s in symbol if s is not None]
 
     def normalized(self, text: str) -> str:
         return MARK + text.replace(" ", MARK) if text else ""
@@ -125,34 +147,69 @@ class PieceModel:
         first = next((i for i in ids if i not in self.silent), None)
         return text[1:] if first is not None and first not in self.byte_of and text.startswith(" ") and first != self.unk else text
 
-    def known(self, units: list[str], verify: bool) -> list[tuple[int, str, str]]:
+    def parts(self, unit: str) -> list[str]:
+        """unit, cut between any two characters that no piece has side by side: no merge joins them."""
+        bridged = self.bridged
+        cuts = [i for i, pair in enumerate(zip(unit, unit[1:], strict=False), 1) if pair not in bridged]
+        return [unit[i:j] for i, j in zip([0, *cuts], [*cuts, len(unit)], strict=True)] if cuts else [unit]
+
+    def _whole(self, part: str) -> tuple[int, str, str]:
+        ids = self.encode_unit(part)
+        self.unchecked.append((part, ids))
+        plain = self.byte_of.keys().isdisjoint(ids)
+        said = "".join([self.pieces[i] for i in ids]).replace(MARK, " ") if plain else self._pieces(ids)
+        return len(ids), ",".join(map(str, ids)), said
+
+    def _recalled(self, unit: str, make) -> tuple[int, str, str]:
+        if (x := self.old.get(unit)) is None:
+            x = make(unit)
+        if len(unit) <= MEMO_CHARS:
+            if len(self.memo) >= MEMO:
+                self.old, self.memo = self.memo, {}
+            self.memo[unit] = x
+        return x
+
+    def _of_parts(self, unit: str) -> tuple[int, str, str]:
+        parts = self.parts(unit)
+        if len(parts) == 1:
+            return self._whole(unit)
+        got = [self.memo.get(p) or self._recalled(p, self._whole) for p in parts]
+        return sum(x[0] for x in got), ",".join([x[1] for x in got]), "".join([x[2] for x in got])
+
+    def known(self, units: list[str]) -> list[tuple[int, str, str]]:
         """(number of ids, ids joined by commas, decoded text) of each unit."""
-        memo = self.memo
-        missing = list({u for u in units if u not in memo})
-        if len(memo) + len(missing) > MEMO:
-            memo.clear()
-            missing = list(set(units))
-        fresh = {}
-        for u in missing:
-            ids = self.encode_unit(u)
-            fresh[u] = (len(ids), ",".join(map(str, ids)), self._pieces(ids))
-        if verify:
-            own = [u for u in missing if u[0] == MARK]
-            for u, ids in zip(own, self.lib.encode([u[1:].replace(MARK, " ") for u in own], num_threads=1), strict=True):
-                if len(u) > 1 and fresh[u][1] != ",".join(map(str, ids)):
-                    raise AssertionError(f"ids differ from the library's for {u!r}")
-        memo.update((u, x) for u, x in fresh.items() if len(u) <= MEMO_CHARS)
-        return [fresh.get(u) or memo[u] for u in units]
-
-    def digest(self, text: str, verify: bool) -> tuple[int, str, str]:
+        got = list(map(self.memo.get, units))
+        if None not in got:
+            return got
+        fresh: dict[str, tuple[int, str, str]] = {}
+        for i, x in enumerate(got):
+            if x is None:
+                u = units[i]
+                if (x := fresh.get(u)) is None:
+                    x = fresh[u] = self._recalled(u, self._of_parts)
+                got[i] = x
+        return got
+
+    def check(self) -> None:
+        """Compare the parts encoded since the last call with the library. Behind a line break, of
+        which no piece has one, each comes out as in the middle of a text."""
+        parts, self.unchecked = self.unchecked, []
+        for at in range(0, len(parts), 4096):
+            some = parts[at : at + 4096]
+            for (part, ids), theirs in zip(some, self.lib.encode(["\n" + p.replace(MARK, " ") for p, _ in some], num_threads=1), strict=True):
+                if theirs[2:] != ids:
+                    raise AssertionError(f"ids differ from the library's for {part!r}")
+
+    def digest(self, text: str) -> tuple[int, str, str]:
         """(n_tokens, sha256 of the ids joined by commas, sha256 of the decoded text)."""
         ids, out, n = hashlib.sha256(), hashlib.sha256(), 0
         units = self.units.findall(self.normalized(text))
         for at in range(0, len(units), 1 << 16):
-            got = self.known(units[at : at + (1 << 16)], verify)
-            n += sum(x[0] for x in got)
-            ids.update((("," if at else "") + ",".join([x[1] for x in got])).encode())
-            said = "".join([x[2] for x in got])
+            got = self.known(units[at : at + (1 << 16)])
+            counts, own, said = zip(*got, strict=True)
+            n += sum(counts)
+            ids.update((("," if at else "") + ",".join(own)).encode())
+            said = "".join(said)
             out.update((said if at else said[1:]).encode())
         return n, ids.hexdigest(), out.hexdigest()
 
@@ -194,14 +251,19 @@ def digests(text: Column, path: str | None = None, verify: bool = True) -> Colum
     """Struct (n_tokens, ids_sha256, decoded_sha256) of each text's encoding and round trip.
 
     Null counts as empty: no ids, and the digests of the empty string. Equal texts give equal
-    rows. With `verify` each newly met unit is compared with the sentencepiece library.
+    rows. With `verify` each newly encoded part is compared with the sentencepiece library.
     """
     path = path or default_model()
 
     @F.arrow_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
     def run(column: pa.Array) -> pa.Array:
         m = model(path)
-        rows = [m.digest(t or "", verify) for t in column.to_pylist()]
+        rows = []
+        for t in column.to_pylist():
+            rows.append(m.digest(t or ""))
+            if len(m.unchecked) >= 1 << 14:
+                m.check() if verify else m.unchecked.clear()
+        m.check() if verify else m.unchecked.clear()
         n, ids, out = (list(x) for x in zip(*rows, strict=True)) if rows else ([], [], [])
         return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(out, pa.string())], ["n_tokens", "ids_sha256", "decoded_sha256"])
 
