@@ -84,3 +84,14 @@ def test_repeated_and_null_ids(spark):
     want = sorted((i or -1, n, gone) for (i, _), (n, gone, _, _) in zip(rows_, brute_bytes([t for _, t in rows_])))
     assert got == want
     assert sorted(r.n_removed == r.n_words > 0 for r in substring_dedup.digest(d).where("doc_id = 1").collect()) == [False, True]
+
+
+def test_names_with_many_neighbourhoods(spark, monkeypatch):
+    from tokenframe.llm import repeats
+
+    monkeypatch.setattr(repeats, "GATHERED", 1)
+    texts = spliced()
+    got = {r.doc_id: tuple(r)[1:] for r in suffix_dedup.digest(table(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_bytes(texts)
+    got = {r.doc_id: tuple(r)[1:] for r in substring_dedup.digest(table(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_words(texts)

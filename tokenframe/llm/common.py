@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 import numpy as np
@@ -14,16 +15,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named in spark.checkpoint.dir; only where that is unset (a local session, as in
+    tests) a temporary one takes its place."""
+    sc = spark.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the session's shared checkpoint folder and cut its lineage.
 
-    The folder is the one named in spark.checkpoint.dir; only where that is unset (a local
-    session, as in tests) a temporary folder takes its place.
+    The shuffles behind it are of no use any more; the collection lets Spark delete their files.
     """
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    shared_folder(spark)
+    df = df.checkpoint(eager=True)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return df
+
+
+def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, rest, text): id is unique and in the order of id_col, rest holds the other columns.
+
+    It is id_col itself where that is a whole number, unique and never null. Otherwise rows are
+    numbered in the order of (id_col, hash of the text), nulls first, by a range partitioning.
+    """
+    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col])
+    own = docs.select(F.col(id_col).alias("given"), rest.alias("rest"), F.col(text_col).alias("text"))
+    whole = dict(docs.dtypes)[id_col] in ("tinyint", "smallint", "int", "bigint")
+    if whole and own.groupBy("given").agg(F.count("*").alias("n")).where("n > 1 or given is null").isEmpty():
+        return own.select(F.col("given").cast("long").alias("id"), "rest", "text")
+    order = ["given", F.xxhash64("text")]
+    ranged = own.repartitionByRange(*order).sortWithinPartitions(*order)
+    return cut(ranged.select(F.monotonically_increasing_id().alias("id"), "rest", "text"))
 
 
 def texts_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -45,7 +72,3 @@ def blocks(offsets: np.ndarray, size: int) -> list[tuple[int, int]]:
         out.append((first, min(last, n)))
         first = out[-1][1]
     return out
-
-
-def null_safe(a: str, b: str):
-    return F.col(a).eqNullSafe(F.col(b))

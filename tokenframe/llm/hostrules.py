@@ -3,8 +3,8 @@
 Rules are measured on each whole text. Their failures are counted by host (the document's source),
 and every host's failure rate of a rule is shrunk towards an empirical beta prior, fitted by
 moments over the hosts: a host of few documents stays near the prior, a large one near its own rate.
-A host whose shrunk rate of failing documents exceeds `bad_host` is rejected. Host verdicts are
-joined back; a document is kept if it passes the base rules and the style rules itself and its
+A host whose shrunk rate of failing documents exceeds `bad_host`, and whose own does too, is
+rejected: neither a few bad documents nor the prior alone condemn it. Host verdicts are joined back; a document is kept if it passes the base rules and the style rules itself and its
 host isn't rejected.
 """
 
@@ -56,7 +56,7 @@ def measured(text: Column) -> Column:
 
 
 def host_rates(failures: DataFrame, rules=("failed", *RULES)) -> DataFrame:
-    """host, n and the shrunk rate of each rule, from rows (host, <rule> boolean ...).
+    """host, n, the failures and the shrunk rate of each rule, from rows (host, <rule> boolean ...).
 
     The prior of a rule is the beta distribution whose mean is the rate over all documents and
     whose strength comes from the variance of host rates beyond that of sampling (moments); it
@@ -73,7 +73,7 @@ def host_rates(failures: DataFrame, rules=("failed", *RULES)) -> DataFrame:
         between = (spread - (k - 1) * mean * (1 - mean)) / max(n - (t["nn"] or 0) / n, 1e-9)
         strength = min(max(mean * (1 - mean) / between - 1, 1.0), 1e6) if between > 0 else 1e6
         out = out.withColumn(f"{r}_rate", (F.col(r) + F.lit(strength * mean)) / (F.col("n") + F.lit(strength)))
-    return out.select("host", "n", *[f"{r}_rate" for r in rules])
+    return out.select("host", "n", *rules, *[f"{r}_rate" for r in rules])
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", most_symbols: float = 0.25, most_lines: float = 0.3, bad_host: float = 0.5) -> DataFrame:
@@ -87,7 +87,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
     m = m.withColumns({"symbols": F.col("n_symbols") > most_symbols * F.col("n_words"), "lines": F.col("n_dup_lines") > most_lines * F.col("n_lines"), "base_failed": F.expr("short or repeats")})
     m = cut(m.withColumn("failed", F.expr("base_failed or symbols or lines")))
     rates = host_rates(m.where("host is not null"))
-    verdicts = rates.select(F.col("host").alias("host2"), (F.col("failed_rate") > bad_host).alias("rejected"))
+    verdicts = rates.select(F.col("host").alias("host2"), ((F.col("failed_rate") > bad_host) & (F.col("failed") > bad_host * F.col("n"))).alias("rejected"))
     rejected = F.coalesce("rejected", F.lit(False))
     return m.join(verdicts, F.col("host") == F.col("host2"), "left").select(
         F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",

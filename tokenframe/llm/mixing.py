@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import cut
+from .common import cut, numbered
 
 CYCLE, MOST = (5, 2, 1), 3
 DP_WORDS = 1 << 14
@@ -81,6 +81,17 @@ def knapsack(lengths: list[int], counts: list[int], budget: int) -> list[int]:
     return take
 
 
+def copies(lengths: list[int], counts: list[int], budget: int, most: int) -> list[int]:
+    """How many copies of each length to take: one of a document at first, and up to `most` only
+    where a budget can't be reached otherwise."""
+    take = knapsack(lengths, counts, budget)
+    rest = budget - sum(n * t for n, t in zip(lengths, take, strict=True))
+    if rest > 0 and most > 1:
+        more = knapsack(lengths, [c * most - t for c, t in zip(counts, take, strict=True)], rest)
+        take = [t + m for t, m in zip(take, more, strict=True)]
+    return take
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 11, buckets: int = 1024, max_sources: int = 1_000_000) -> DataFrame:
     """id_col, size, source_size, target, taken: the words that the mix takes from each document.
 
@@ -105,13 +116,23 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         words, aim = aims[group["source"].iloc[0]]
         base = int(aim / words + 1e-9) if words else 0
         group = group.sort_values("size")
-        extra = knapsack(group["size"].tolist(), group["n"].tolist(), round(aim) - base * words)
+        extra = copies(group["size"].tolist(), group["n"].tolist(), round(aim) - base * words, MOST - base)
         return group.assign(base=base, extra=extra, source_size=words, target=float(aim))
 
     plan = histogram.groupBy("source").applyInPandas(fit, "source string, size long, n long, base long, extra long, source_size long, target double")
     seen = Window.partitionBy("source", "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     filled = own.groupBy("source", "size", "bucket").agg(F.count("*").alias("k")).withColumn("before", F.coalesce(F.sum("k").over(seen), F.lit(0)))
-    places = filled.join(plan, ["source", "size"]).select("source", "size", "bucket", "before", "base", "extra", "source_size", "target")
+    places = filled.join(plan, ["source", "size"]).select("source", "size", "bucket", "before", (F.col("base") + F.floor(F.col("extra") / F.col("n"))).alias("base"), (F.col("extra") % F.col("n")).alias("extra"), "source_size", "target")
     ranked = own.withColumn("place", F.row_number().over(Window.partitionBy("source", "size", "bucket").orderBy("spot", "id")))
     taken = F.col("size") * (F.col("base") + (F.col("before") + F.col("place") <= F.col("extra")).cast("long"))
     return ranked.join(places, ["source", "size", "bucket"]).select(F.col("id").alias(id_col), "size", "source_size", "target", taken.alias("taken"))
+
+
+def with_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", out: str = "copies", **options) -> DataFrame:
+    """docs, all columns, with the number of times that the mix takes each row (0 to 3)."""
+    own = numbered(docs, id_col, text_col)
+    source = options.pop("source_col", "source")
+    got = mix(own.select("id", "text", F.col(f"rest.`{source}`").alias("source")), "id", "text", "source", **options)
+    got = got.select(F.col("id").alias("id2"), F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(0).alias("n"))
+    joined = own.join(got, F.col("id") == F.col("id2"))
+    return joined.select(*[F.col("text").alias(c) if c == text_col else F.col(f"rest.`{c}`") for c in docs.columns], F.col("n").alias(out))

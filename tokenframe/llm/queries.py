@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hostrules, htmltext, langid, minhash, mixing, sentencepieces, simhash, substring_dedup, suffix_dedup
+from . import hostrules, htmltext, langid, minhash, mixing, quality, sentencepieces, simhash, substring_dedup, suffix_dedup
 from .common import table
 
 
@@ -46,11 +46,16 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(table(spark, sf_dir, "documents"))
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_suffix_array_dedup, op2_language_id, op3_simhash_near_dedup, op4_quality_rules, op5_sentencepiece,
         op6_html_extraction, op7_document_fingerprints, op8_source_mixing, op9_substring_dedup,
+        op10_quality_classifier,
     )
 }
 ORACLE_SQL: dict[str, str] = {}

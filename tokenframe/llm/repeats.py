@@ -13,11 +13,13 @@ sample the same shift, and about 2 positions in `span - k + 2` are sampled inste
    named in turn, a name twice as long as the first. Equal neighbourhoods are one class: their
    windows are equal one by one, whatever the number of members.
 3. Only one member of each class whose first name also heads another class remains. Its windows
-   are named one by one and merged with those of the other classes.
+   are named one by one and merged with those of the other classes under the name: in one place
+   where the name has at most GATHERED classes; where it has more, by cells of CELL windows which
+   are named and settled by class as in 2, and by a hash aggregation of what remains.
 4. Equal names are adjacent after the sort; each repeat is reported with its class's first place.
 
 Every grouping is a hash aggregation with map-side combine or an equi-join that AQE may split; no
-group of copies is collected. Windows are told apart by 128 bits of names.
+group of copies is collected. Windows are told apart by the 128 bits of two names.
 """
 
 from __future__ import annotations
@@ -28,12 +30,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import blocks, cut, texts_of
 
 U = np.uint64
 BLOCK = 1 << 20  # bytes that one round of array operations takes
+GATHERED = 256  # members of different neighbourhood under one name that are compared in one place
+CELL = 10  # windows that are compared together first where more are
 _BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
 _BASE = 0x9E3779B97F4A7C15
 _UNBASE = pow(_BASE, -1, 1 << 64)
@@ -144,6 +147,28 @@ def window_names(values: np.ndarray, lo: np.ndarray, hi: np.ndarray, span: int)
     return p, Hashes(values).of(p, p + span)
 
 
+def _cells(values: np.ndarray, lo: np.ndarray, hi: np.ndarray, name: np.ndarray, many: np.ndarray, k: int, span: int):
+    """First and last window, index of the range, name and wide name of each cell; a range that
+    isn't `many` is one cell and keeps its name."""
+    own = np.flatnonzero(many)
+    if len(own) == 0:
+        return lo, hi, np.arange(len(lo)), name, np.zeros(len(lo), U)
+    h = Hashes(values)
+    v = h.all(k) & U(0xFFFFFFFF00000000)
+    rows = [(lo[i], hi[i], i, 0, 0) for i in np.flatnonzero(~many)]
+    for i in own:
+        s = lo[i] + int(np.argmin(v[lo[i] : lo[i] + span - k + 1]))
+        for c in range((s - hi[i]) // CELL, (s - lo[i]) // CELL + 1):
+            rows.append((max(lo[i], s - c * CELL - CELL + 1), min(hi[i], s - c * CELL), i, s, c))
+    first, last, of, s, c = (np.array(x, np.int64) for x in zip(*rows, strict=True))
+    title = name.view(U)[of] if len(name) else name
+    split = many[of]
+    start, end = np.where(split, s - c * CELL, 0), np.where(split, s - c * CELL - CELL + 1 + span, 0)
+    core = mixed(h.of(start, end) ^ mixed(title + c.astype(U)))
+    wide = mixed(h.of(first, last + span) ^ mixed((s - first).astype(U) << U(32) | (last - first).astype(U)))
+    return first, last, of, np.where(split, core, title), wide
+
+
 def _values(unit: str, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (byte_values(data), offsets) if unit == "byte" else word_values(data, offsets)[:2]
 
@@ -178,47 +203,111 @@ def repeated(docs: DataFrame, unit: str, k: int, span: int, keep_first: bool) ->
     found = cut(scanned.join(names, F.col("name") == F.col("name2"), "left_semi"))
     place = F.struct("id", "lo", "hi")
     classes = cut(found.groupBy("name", "wide").agg(F.count("*").alias("n"), F.min(place).alias("first")))
-    several = classes.groupBy(F.col("name").alias("name2")).agg(F.count("*").alias("classes")).where("classes > 1").select("name2")
-    open_ = classes.join(several, F.col("name") == F.col("name2"), "left_semi")
-    ask = open_.select("first.id", "first.lo", "first.hi", (F.col("n") > 1).alias("settled"))
-    asked = ask.groupBy("id").agg(F.collect_list(F.struct("lo", "hi", "settled")).alias("ranges"))
-    windows = cut(docs.join(asked.withColumnRenamed("id", "id2"), F.col("id") == F.col("id2")).select("id", "text", "ranges").mapInArrow(_windows(unit, span), "id long, start int, settled boolean, x long, y long"))
-    at = F.struct("id", "start")
-    equal = windows.groupBy("x", "y").agg(F.count("*").alias("n"), F.min(at).alias("first")).where("n > 1")
-    equal = equal.select(F.col("x").alias("x2"), F.col("y").alias("y2"), "first")
-    hits = windows.join(equal, (F.col("x") == F.col("x2")) & (F.col("y") == F.col("y2")))
+    several = classes.groupBy(F.col("name").alias("name2")).agg(F.count("*").alias("k")).where("k > 1")
+    ask = classes.join(several, F.col("name") == F.col("name2"))
+    ask = ask.select("first.id", "first.lo", "first.hi", "name", (F.col("k") > GATHERED).alias("many"), (F.col("n") > 1).alias("settled"))
+    asked = ask.groupBy(F.col("id").alias("id2")).agg(F.collect_list(F.struct("lo", "hi", "name", "many", "settled")).alias("ranges"))
+    packed = docs.join(asked, F.col("id") == F.col("id2")).select("id", "text", "ranges")
+    packed = cut(packed.mapInArrow(_windows(unit, k, span), "id long, lo int, name long, wide long, many boolean, settled boolean, xs array<long>"))
+    few = packed.where("not many").groupBy("name").agg(F.collect_list(F.struct("id", "lo", "settled", "xs")).alias("reps"))
+    hits = few.select("reps").mapInArrow(_equal_few(keep_first), "id long, lo int, hi int")
+    hits = hits.union(_equal_many(packed.where("many").drop("many"), keep_first))
+
     members = classes.where("n > 1").select(F.col("name").alias("name2"), F.col("wide").alias("wide2"), "first")
     members = found.join(members, (F.col("name") == F.col("name2")) & (F.col("wide") == F.col("wide2")))
     if keep_first:
-        hits, members = hits.where(at != F.col("first")), members.where(place != F.col("first"))
-    spans = hits.select("id", F.col("start").alias("lo"), F.col("start").alias("hi")).union(members.select("id", "lo", "hi"))
-    return spans.groupBy("id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+        members = members.where(place != F.col("first"))
+    spans = hits.union(members.select("id", "lo", "hi"))
+    return cut(spans.groupBy("id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")))
+
+
+def _equal_many(cells: DataFrame, keep_first: bool) -> DataFrame:
+    """(id, lo, hi) of the repeats among windows whose name has any number of neighbourhoods.
+
+    cells: a row for each few adjacent windows; name is of the units common to them, wide of all that
+    they cover. What is equal as a whole is settled by class again, and only the first
+    member of each class that shares its name with another is taken apart into windows.
+    """
+    place = F.struct("id", "lo")
+    classes = cells.groupBy(F.col("name").alias("name2"), F.col("wide").alias("wide2")).agg(F.count("*").alias("n"), F.min(place).alias("first"))
+    classes = cut(classes)
+    several = classes.groupBy(F.col("name2").alias("name3")).agg(F.count("*").alias("k"))
+    classes = classes.join(several, F.col("name2") == F.col("name3")).where("n > 1 or k > 1")
+    cells = cut(cells.join(classes, (F.col("name") == F.col("name2")) & (F.col("wide") == F.col("wide2"))).select(*cells.columns, "n", "k", (place == F.col("first")).alias("is_first")))
+    whole = cells.where("n > 1 and not is_first" if keep_first else "n > 1 and not settled")
+    whole = whole.select("id", "lo", (F.col("lo") + F.size("xs") - 1).alias("hi"))
+    windows = cells.where("k > 1 and is_first").select("id", "lo", "name", (F.col("settled") | (F.col("n") > 1)).alias("settled"), F.posexplode("xs").alias("i", "x"))
+    windows = windows.select("id", (F.col("lo") + F.col("i")).alias("start"), "name", "settled", "x")
+    at = F.struct("id", "start")
+    equal = windows.groupBy(F.col("name").alias("name2"), F.col("x").alias("x2")).agg(F.count("*").alias("n"), F.min(at).alias("first")).where("n > 1")
+    more = windows.join(equal, (F.col("name") == F.col("name2")) & (F.col("x") == F.col("x2")))
+    more = more.where(at != F.col("first") if keep_first else ~F.col("settled"))
+    return whole.union(more.select("id", F.col("start").alias("lo"), F.col("start").alias("hi")))
 
 
-def _windows(unit: str, span: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _windows(unit: str, k: int, span: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The names of all windows in the ranges asked for: a row for each range, or where many compare a
+    row for each cell of a grid of CELL window starts that is laid from the sampled position."""
+
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = texts_of(batch.column(1))
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             ranges = batch.column(2)
-            first, flat = ranges.offsets.to_numpy(), ranges.values
-            lo, hi, settled = (flat.field(x).to_numpy(zero_copy_only=False) for x in ("lo", "hi", "settled"))
+            first = ranges.offsets.to_numpy()
+            flat = ranges.values
             for i, j in blocks(offsets, BLOCK):
                 own = offsets[i : j + 1]
                 values, at = _values(unit, data[own[0] : own[-1]], own - own[0])
-                r = slice(first[i], first[j])
+                part = flat.slice(first[i], first[j] - first[i])
+                lo, hi = (part.field(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in ("lo", "hi"))
                 doc = np.repeat(np.arange(j - i), np.diff(first[i : j + 1]))
-                n = hi[r].astype(np.int64) - lo[r] + 1
-                p, x = window_names(values, lo[r] + at[doc], hi[r] + at[doc], span)
-                doc, flag = np.repeat(doc, n), np.repeat(settled[r], n)
-                y = mixed(Hashes(mixed(values + U(77))).of(p, p + span))
-                for a in range(0, len(p), 1 << 16):
-                    b = slice(a, a + (1 << 16))
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[i:j][doc[b]], pa.int64()), pa.array((p[b] - at[doc[b]]).astype(np.int32)), pa.array(flag[b]), _signed(x[b]), _signed(y[b])], ["id", "start", "settled", "x", "y"])
+                title, many, settled = (part.field(x).to_numpy(zero_copy_only=False) for x in ("name", "many", "settled"))
+                lo, hi, of, title, wide = _cells(values, lo + at[doc], hi + at[doc], title, many, k, span)
+                _, x = window_names(values, lo, hi, span)
+                ends = np.concatenate([[0], np.cumsum(hi - lo + 1)]).astype(np.int32)
+                xs = pa.ListArray.from_arrays(pa.array(ends), _signed(x))
+                columns = [pa.array(ids[i:j][doc[of]], pa.int64()), pa.array((lo - at[doc[of]]).astype(np.int32)), _signed(title), _signed(wide), pa.array(many[of]), pa.array(settled[of]), xs]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "lo", "name", "wide", "many", "settled", "xs"])
 
     return name
 
 
+def _equal_few(keep_first: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Repeats among the windows of the at most GATHERED members that each row holds."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            groups = batch.column(0)
+            per = np.diff(groups.offsets.to_numpy())
+            reps = groups.flatten()
+            if len(reps) == 0:
+                continue
+            id_, lo, settled, xs = (reps.field(x) for x in ("id", "lo", "settled", "xs"))
+            n = np.diff(xs.offsets.to_numpy())
+            x = xs.flatten().to_numpy(zero_copy_only=False)
+            rep = np.repeat(np.arange(len(reps)), n)
+            group = np.repeat(np.arange(len(groups)), per)[rep]
+            ids = id_.to_numpy(zero_copy_only=False)[rep]
+            start = lo.to_numpy(zero_copy_only=False)[rep].astype(np.int64) + np.arange(len(x)) - np.repeat(np.cumsum(n) - n, n)
+            order = np.lexsort((start, ids, x, group))
+            same = (x[order][1:] == x[order][:-1]) & (group[order][1:] == group[order][:-1])
+            if keep_first:
+                hit = order[1:][same]
+            else:
+                both = np.zeros(len(x), bool)
+                both[order[1:][same]] = True
+                both[order[:-1][same]] = True
+                hit = np.flatnonzero(both & ~settled.to_numpy(zero_copy_only=False)[rep])
+            hit = np.sort(hit)
+            r, p = rep[hit], start[hit]
+            head = np.flatnonzero((np.diff(r, prepend=-1) != 0) | (np.diff(p, prepend=-2) != 1))
+            tail = np.append(head[1:], len(hit)) - 1 if len(hit) else head
+            yield pa.RecordBatch.from_arrays([pa.array(ids[hit[head]], pa.int64()), pa.array(p[head].astype(np.int32)), pa.array(p[tail].astype(np.int32))], ["id", "lo", "hi"])
+
+    return find
+
+
 def covered(n: int, spans: list[dict] | None, span: int) -> np.ndarray:
     """Mask of the n units of a document that a window starting in the spans covers."""
     mark = np.zeros(n + 1, np.int32)
@@ -230,22 +319,8 @@ def covered(n: int, spans: list[dict] | None, span: int) -> np.ndarray:
     return np.cumsum(mark[:n]) > 0
 
 
-def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, given, text): id is unique and in the order of the given ids.
-
-    It is the given id itself where those are whole numbers, unique and not null. Otherwise rows are numbered in
-    the order of (id, hash of text), nulls first, by a range partitioning.
-    """
-    own = docs.select(F.col(id_col).alias("given"), F.col(text_col).alias("text"))
-    if own.groupBy("given").agg(F.count("*").alias("n")).where("n > 1 or given is null").isEmpty():
-        return own.select(F.col("given").cast("long").alias("id"), "given", "text")
-    order = ["given", F.xxhash64("text")]
-    ranged = own.repartitionByRange(*order).sortWithinPartitions(*order)
-    return cut(ranged.select(F.monotonically_increasing_id().alias("id"), "given", "text"))
-
-
-def with_spans(docs: DataFrame, spans: DataFrame, schema: T.StructType, apply: Callable) -> DataFrame:
-    """docs (with a column id) joined with their spans; `apply(batch columns, spans)` maps batches."""
+def with_spans(docs: DataFrame, spans: DataFrame, schema, apply: Callable) -> DataFrame:
+    """docs (id, rest, text) joined with their spans; `apply` maps batches of (rest, text, spans)."""
     spans = spans.withColumnRenamed("id", "span_id")
-    joined = docs.join(spans, F.col("id") == F.col("span_id"), "left").drop("span_id")
+    joined = docs.join(spans, F.col("id") == F.col("span_id"), "left").select("rest", "text", "spans")
     return joined.mapInArrow(apply, schema)

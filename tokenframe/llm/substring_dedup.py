@@ -15,8 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts_of
-from .repeats import covered, numbered, repeated, with_spans
+from .common import numbered, texts_of
+from .repeats import covered, repeated, with_spans
 
 WINDOW = 20
 
@@ -29,13 +29,13 @@ def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
     in the same one. Null texts have no words, shorter texts stay whole. Rows that repeat an id
     are documents in the order of their texts' hashes; null ids come first.
     """
-    own = numbered(docs, id_col, text_col)
+    own = numbered(docs.select(id_col, text_col), id_col, text_col)
     spans = repeated(own.select("id", "text"), "word", window // 2, window, keep_first=True)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, at = texts_of(batch.column(2))
-            found = batch.column(3).to_pylist()
+            data, at = texts_of(batch.column(1))
+            found = batch.column(2).to_pylist()
             rows = []
             for i in range(len(at) - 1):
                 words = data[at[i] : at[i + 1]].tobytes().split()
@@ -47,11 +47,11 @@ def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
                 said = b" ".join(kept)
                 rows.append((said.decode(), len(words), len(words) - len(kept), hashlib.sha256(said).hexdigest()))
             text, n, gone, sha = (list(c) for c in zip(*rows, strict=True)) if rows else ([], [], [], [])
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(text, pa.string()), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string())], ["given", "text", "n_words", "n_removed", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(text, pa.string()), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string())], ["rest", "text", "n_words", "n_removed", "kept_sha256"])
 
-    kind = own.schema["given"].dataType.simpleString()
-    got = with_spans(own.select("id", "given", "text"), spans, f"given {kind}, text string, n_words long, n_removed long, kept_sha256 string", apply)
-    return got.select(F.col("given").alias(id_col), "text", "n_words", "n_removed", "kept_sha256")
+    kind = own.schema["rest"].dataType.simpleString()
+    got = with_spans(own, spans, f"rest {kind}, text string, n_words long, n_removed long, kept_sha256 string", apply)
+    return got.select(f"rest.{id_col}", F.col("text").alias(text_col), "n_words", "n_removed", "kept_sha256")
 
 
 def digest(docs: DataFrame, **options) -> DataFrame:
