@@ -99,27 +99,28 @@ def _bucket(id_: Column, bounds: list) -> Column:
     return F.coalesce(let(F.size(F.filter(coarse, below)) * wide, lambda at: at + F.size(F.filter(F.slice(every, at + 1, F.lit(wide)), below))), F.lit(0))
 
 
-def with_next(docs: DataFrame, id_col: str, carry: list[str], ranges: int | None = None) -> DataFrame:
-    """docs with next_<c> for each carried column c: of the row that follows in descending id, and
-    for the last row of the first.
+def with_next(docs: DataFrame, id_col: str, text_col: str, derived: dict[str, Column], ranges: int | None = None) -> DataFrame:
+    """docs with the `derived` columns (functions of the text), and next_<c> of the text and of each of
+    them: the value of the row that follows in descending id, and for the last row of the first.
 
     Ids are cut into ranges at approximate quantiles; each range is ordered on its own, after a
     copy of the row that follows its last one. Null ids count as least; rows that repeat
-    an id are ordered by the hash of their carried columns.
+    an id are ordered by the hash of their texts. Of each range one row is broadcast, or ordered in
+    one place; `ranges` (three for each shuffle partition) bounds them.
     """
     spark = docs.sparkSession
     ranges = ranges or 3 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts = docs.agg(F.percentile_approx(id_col, [i / ranges for i in range(1, ranges)], 10 * ranges).alias("q")).first().q
-    docs = docs.withColumns({"_bucket": _bucket(F.col(id_col), sorted(set(cuts or []))), "_tie": F.xxhash64(carry[0])})
+    docs = docs.withColumns({"_bucket": _bucket(F.col(id_col), sorted(set(cuts or []))), "_tie": F.xxhash64(text_col)})
     top = docs.groupBy("_bucket").agg(F.max(id_col).alias("_top")).withColumnRenamed("_bucket", "_of")
-    last = docs.join(top, (F.col("_bucket") == F.col("_of")) & F.col(id_col).eqNullSafe(F.col("_top")))
-    last = last.groupBy("_bucket").agg(F.max_by(F.struct(*carry), "_tie").alias("_row"))
+    last = docs.join(F.broadcast(top), (F.col("_bucket") == F.col("_of")) & F.col(id_col).eqNullSafe(F.col("_top")))
+    last = last.groupBy("_bucket").agg(F.max_by(F.struct(text_col), "_tie").alias("_row"))
     order = Window.partitionBy(F.lit(0)).orderBy("_bucket")  # one row for each range
     before = F.coalesce(F.lag("_row").over(order), F.last("_row").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    ghosts = last.select("_bucket", F.lit(0).alias("_real"), before.alias("_row")).select("_bucket", "_real", *[F.col(f"_row.{c}") for c in carry])
-    rows = docs.withColumn("_real", F.lit(1)).unionByName(ghosts, allowMissingColumns=True)
+    ghosts = last.select("_bucket", F.lit(0).alias("_real"), before.alias("_row")).select("_bucket", "_real", f"_row.{text_col}")
+    rows = docs.withColumn("_real", F.lit(1)).unionByName(ghosts, allowMissingColumns=True).withColumns(derived)
     w = Window.partitionBy("_bucket").orderBy("_real", F.col(id_col).asc_nulls_first(), "_tie")
-    return rows.withColumns({f"next_{c}": F.lag(c).over(w) for c in carry}).where("_real = 1").drop("_bucket", "_real", "_tie")
+    return rows.withColumns({f"next_{c}": F.lag(c).over(w) for c in (text_col, *derived)}).where("_real = 1").drop("_bucket", "_real", "_tie")
 
 
 def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -131,8 +132,7 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     row is its own next document; wordless texts share one fingerprint.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    own = docs.select(F.col(id_col).alias("id"), text.alias("text"), fingerprint(text).alias("fp"))
-    own = with_next(own, "id", ["text", "fp"])
+    own = with_next(docs.select(F.col(id_col).alias("id"), text.alias("text")), "id", "text", {"fp": fingerprint(F.col("text"))})
     third = F.floor(F.length("text") / 3).cast("int")
     edited = F.concat(F.left("text", F.length("text") - third), F.left("next_text", third))
     own = own.select("id", "fp", "next_fp", F.length("text").cast("long").alias("n_chars"), edited.alias("edited"))
