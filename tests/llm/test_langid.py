@@ -15,7 +15,7 @@ def test_forward_sums_all_segmentations():
     vocab = {"▁": 0, "a": 1, "b": 2, "ab": 3, "▁a": 4, "ba": 5}
     p = np.random.default_rng(1).random((7, 2))
     words = ["▁abab", "▁", "▁xa", "▁bba"]
-    got = L.Lattice(words, vocab, 2).likelihood(p)
+    got = L.Lattice(words, L.Prefixes(vocab)).likelihood(p)
     for w, row in zip(words, got):
         total = np.zeros(2)
         for cuts in itertools.product([0, 1], repeat=len(w) - 1):
@@ -30,7 +30,7 @@ def test_expected_counts_match_numerical_gradient():
     vocab = {"▁": 0, "a": 1, "b": 2, "ab": 3, "▁a": 4}
     p = np.random.default_rng(2).random((6, 1))
     words, counts = ["▁abab", "▁ba"], np.array([2.0, 1.0])
-    lattice = L.Lattice(words, vocab, 2)
+    lattice = L.Lattice(words, L.Prefixes(vocab))
     got = lattice.expected(p, counts)
     for i in range(5):
         up = p.copy()

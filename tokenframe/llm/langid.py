@@ -25,10 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
+from .repeats import mixed
 from .sentencepieces import MARK, default_model
 
 LETTERS = re.compile(r"[^\W\d_]+")
-STRETCH, MEMO = 40, 1 << 17
+STRETCH, MEMO = 40, 1 << 18  # a worker has two memos
+U = np.uint64
 UNKNOWN = 1e-7  # probability, in every language, of a character that no piece spells
 
 
@@ -48,6 +50,15 @@ def pieces(path: str) -> dict[str, int]:
     return _vocabularies[path]
 
 
+_prefixes: dict[str, Prefixes] = {}
+
+
+def prefixes(path: str) -> Prefixes:
+    if path not in _prefixes:
+        _prefixes[path] = Prefixes(pieces(path))
+    return _prefixes[path]
+
+
 def words(text: str) -> list[str]:
     out = []
     for w in LETTERS.findall(text.lower()):
@@ -56,23 +67,58 @@ def words(text: str) -> list[str]:
     return out
 
 
+class Prefixes:
+    """All prefixes of the pieces, as sorted 64-bit hashes, and the piece that each spells (or -1)."""
+
+    def __init__(self, vocab: dict[str, int]):
+        self.unknown = len(vocab)
+        own = {p[:n]: -1 for p in vocab for n in range(1, len(p))} | vocab
+        h = np.zeros(len(own), U)
+        spelled = list(own)
+        for n in range(max(map(len, spelled), default=0)):
+            some = [i for i, x in enumerate(spelled) if len(x) > n]
+            h[some] = extended(h[some], np.array([ord(spelled[i][n]) for i in some], np.uint32))
+        order = np.argsort(h)
+        self.keys, self.ids = h[order], np.array(list(own.values()), np.int64)[order]
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each hash is a prefix's, and its piece."""
+        at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+        return self.keys[at] == h, self.ids[at]
+
+
+def extended(h: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Hashes of strings, from those of the strings without their last characters c."""
+    return h * U(0x9E3779B97F4A7C15) + mixed(c.astype(U) + U(1))
+
+
 class Lattice:
     """All pieces of a list of words, by the place where they end."""
 
-    def __init__(self, own: list[str], vocab: dict[str, int], longest: int):
-        word, start, end, piece = [], [], [], []
-        unknown = len(vocab)
-        for n, w in enumerate(own):
-            size = len(w)
-            for i in range(size):
-                found = vocab.get(w[i])
-                word.append(n), start.append(i), end.append(i + 1), piece.append(unknown if found is None else found)
-                for j in range(i + 2, min(size, i + longest) + 1):
-                    if (found := vocab.get(w[i:j])) is not None:
-                        word.append(n), start.append(i), end.append(j), piece.append(found)
+    def __init__(self, own: list[str], known: Prefixes):
         self.sizes = np.array([len(w) for w in own], np.int64)
-        self.word, self.start, self.end, self.piece = (np.array(x, np.int64) for x in (word, start, end, piece))
         self.width = int(self.sizes.max(initial=0)) + 1
+        chars = np.frombuffer("".join(own).encode("utf-32-le", "surrogatepass"), np.uint32)
+        first = np.cumsum(self.sizes) - self.sizes
+        word = np.repeat(np.arange(len(own)), self.sizes)
+        at = np.arange(len(chars))
+        last = (first + self.sizes)[word]
+        h, found = np.zeros(len(chars), U), []
+        for n in range(1, self.width):
+            h = extended(h, chars[at + n - 1])
+            hit, piece = known.find(h)
+            if n == 1:
+                piece = np.where(hit & (piece >= 0), piece, known.unknown)
+            spelled = (hit & (piece >= 0)) | (n == 1)
+            found.append((at[spelled], np.full(int(spelled.sum()), n), piece[spelled]))
+            more = hit & (at + n < last[at])
+            at, h = at[more], h[more]
+            if not len(at):
+                break
+        start, size, self.piece = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
+        self.word = word[start] if len(start) else start
+        self.start = start - first[self.word]
+        self.end = self.start + size
 
     def _sweep(self, p: np.ndarray, first: np.ndarray, into: np.ndarray, out_of: np.ndarray, order: np.ndarray) -> np.ndarray:
         """Sums over paths, one step of position at a time for all words together."""
@@ -113,12 +159,29 @@ class Model:
         self.languages, self.priors, self.p, self.path = languages, priors, p, path
 
     def ready(self) -> Model:
-        self.vocab = pieces(self.path)
-        self.longest = max(map(len, self.vocab))
+        self.known = prefixes(self.path)
         self.memo: dict[str, int] = {}
-        self.rows = np.zeros((MEMO, len(self.languages)))
+        self.old: dict[str, int] = {}
+        self.rows, self.old_rows = np.zeros((2, MEMO, len(self.languages)))
         return self
 
+    def _remember(self, some: list[str]) -> None:
+        """Put the likelihoods of words into the memo; a full memo becomes the old one."""
+        missing = list({w for w in some if w not in self.memo})
+        if len(self.memo) + len(missing) > MEMO:
+            self.old, self.memo = self.memo, {}
+            self.rows, self.old_rows = self.old_rows, self.rows
+            missing = list(set(some))
+        recalled = [w for w in missing if w in self.old]
+        first = len(self.memo)
+        self.rows[first : first + len(recalled)] = self.old_rows[[self.old[w] for w in recalled]]
+        self.memo.update(zip(recalled, range(first, MEMO)))
+        new = [w for w in missing if w not in self.old] if recalled else missing
+        for j in range(0, len(new), 4096):
+            part, first = new[j : j + 4096], len(self.memo)
+            self.rows[first : first + len(part)] = Lattice(part, self.known).likelihood(self.p)
+            self.memo.update(zip(part, range(first, MEMO)))
+
     def score(self, text: str) -> tuple[str, float]:
         """(language, its posterior); ("und", 0.0) for a text without a letter."""
         own = words(text)
@@ -127,22 +190,13 @@ class Model:
         total = self.priors.copy()
         for i in range(0, len(own), MEMO // 2):
             part = own[i : i + MEMO // 2]
-            missing = list({w for w in part if w not in self.memo})
-            if len(self.memo) + len(missing) > MEMO:
-                self.memo.clear()
-                missing = list(set(part))
-            for j in range(0, len(missing), 4096):
-                new = missing[j : j + 4096]
-                first = len(self.memo)
-                self.rows[first : first + len(new)] = Lattice(new, self.vocab, self.longest).likelihood(self.p)
-                self.memo.update(zip(new, range(first, first + len(new)), strict=True))
-            total += self.rows[[self.memo[w] for w in part]].sum(0)
+            if not all(map(self.memo.__contains__, part)):
+                self._remember(part)
+            total += self.rows[list(map(self.memo.__getitem__, part))].sum(0)
         best = int(total.argmax())
         return self.languages[best], float(1 / np.exp(np.maximum(total - total[best], -700)).sum())
 
 
-_ready: dict[int, Model] = {}
-
 
 def fit(labelled: DataFrame, path: str | None = None, per_language: int = 1000, rounds: int = 3, smoothing: float = 0.02, seed: int = 7) -> Model:
     """Fit on (id, text, lang) rows; rows whose text or lang is null don't count.
@@ -167,7 +221,7 @@ def fit(labelled: DataFrame, path: str | None = None, per_language: int = 1000,
         now = sample.sparkSession.sparkContext.broadcast(p)
 
         def expect(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
-            own, longest = pieces(path), max(map(len, pieces(path)))
+            own = prefixes(path)
             total = np.zeros((n, len(languages)))
             for batch in batches:
                 counts: dict[str, Counter] = {}
@@ -177,7 +231,7 @@ def fit(labelled: DataFrame, path: str | None = None, per_language: int = 1000,
                     k, items = languages.index(lang), list(c.items())
                     for i in range(0, len(items), 4096):
                         part = items[i : i + 4096]
-                        lattice = Lattice([w for w, _ in part], own, longest)
+                        lattice = Lattice([w for w, _ in part], own)
                         total[:, k] += lattice.expected(now.value[:, k : k + 1], np.array([x for _, x in part], float))
             i, k = np.nonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(k), pa.array(total[i, k])], ["piece", "k", "n"])
