@@ -37,6 +37,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df
 
 
+_holder: list = []
+
+
+def claim(owner: object, forget) -> None:
+    """Called in a worker by an operator that keeps a memo there: what another one kept is dropped, so
+    that a worker which serves several stages holds one memo at a time."""
+    if _holder and _holder[0] is not owner:
+        _holder[1]()
+        gc.collect()
+    _holder[:] = [owner, forget]
+
+
 def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, rest, text): id is unique and in the order of id_col, rest holds the other columns.
 

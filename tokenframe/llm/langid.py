@@ -24,7 +24,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import claim, cut
 from .repeats import mixed
 from .sentencepieces import MARK, default_model
 
@@ -165,6 +165,9 @@ class Model:
         self.rows, self.old_rows = np.zeros((2, MEMO, len(self.languages)))
         return self
 
+    def forget(self) -> None:
+        del self.memo, self.old, self.rows, self.old_rows
+
     def _remember(self, some: list[str]) -> None:
         """Put the likelihoods of words into the memo; a full memo becomes the old one."""
         missing = list({w for w in some if w not in self.memo})
@@ -253,6 +256,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", out: str = "l
     @F.arrow_udf("lang_pred string, score double")
     def run(column: pa.Array) -> pa.Array:
         m = sent.value
+        claim(m, m.forget)
         if not hasattr(m, "memo"):
             m.ready()
         rows = [m.score(t or "") for t in column.to_pylist()]

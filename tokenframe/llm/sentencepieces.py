@@ -20,8 +20,10 @@ import sentencepiece
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .common import claim
+
 MARK = "▁"
-MEMO, MEMO_CHARS = 3 << 17, 64  # entries of a worker's memo (it has two), and the longest unit that it keeps
+MEMO, MEMO_CHARS = 1 << 18, 64  # entries of a worker's memo (it has two), and the longest unit that it keeps
 SHORT, NEVER = 48, float("inf")
 
 
@@ -103,6 +105,9 @@ class PieceModel:
             offer(left, after[left])
         return [s for s in symbol if s is not None]
 
+    def forget(self) -> None:
+        self.memo, self.old = {}, {}
+
     def normalized(self, text: str) -> str:
         return MARK + text.replace(" ", MARK) if text else ""
 
@@ -258,6 +263,7 @@ def digests(text: Column, path: str | None = None, verify: bool = True) -> Colum
     @F.arrow_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
     def run(column: pa.Array) -> pa.Array:
         m = model(path)
+        claim(m, m.forget)
         rows = []
         for t in column.to_pylist():
             rows.append(m.digest(t or ""))
