@@ -5,12 +5,15 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 
+import regex
+
 from ..errors import UnsupportedError
 from ..functions.added import AddedTokens
 from ..functions.decoders import compile_decoder
 from ..functions.models import Bpe, Unigram
 from ..functions.normalizers import compile_normalizer
-from ..functions.pretokenizers import compile_pre_tokenizer, ends_in_bytes
+from ..functions.grammars import EXHAUSTIVE, GRAMMARS, for_python, name_of
+from ..functions.pretokenizers import byte_chars, compile_pre_tokenizer, ends_in_bytes
 from ..functions.templates import compile_templates
 from ..sources.spec import TokenizerSpec, Truncation, check_truncation
 
@@ -76,6 +79,9 @@ class Tokenizer:
         self.added = AddedTokens(spec.added_tokens, self.normalize)
         self.pre_tokenize = compile_pre_tokenizer(spec.pre_tokenizer)
         self.model = Bpe(spec.model, ends_in_bytes(spec.pre_tokenizer)) if spec.model.kind == "BPE" else Unigram(spec.model)
+        self.raw_bytes = ends_in_bytes(spec.pre_tokenizer)
+        self.find_raw = _raw_words(spec.pre_tokenizer)
+        self.raw_memo: dict[str, list[int]] = {}
         self.templates = compile_templates(spec.post_processor)
         self.decode_chain = compile_decoder(spec.decoder)
 
@@ -92,7 +98,31 @@ class Tokenizer:
         """The pieces that the model encodes, and the added tokens between them."""
         return [x for part, i in self.segments(text) for x in ([(part, i)] if i is not None else [(p, None) for p in self.pre_tokenize(part) if p])]
 
+    def encode_raw(self, piece: str) -> list[int]:
+        """Ids of a piece of text before its bytes are spelled as characters."""
+        if (got := self.raw_memo.get(piece)) is None:
+            got = self.model.encode(byte_chars(piece) if self.raw_bytes else piece)
+            if len(piece) <= 64:
+                if len(self.raw_memo) >= 1 << 18:
+                    self.raw_memo.clear()
+                self.raw_memo[piece] = got
+        return got
+
+    def _content_raw(self, text: str) -> list[int]:
+        """`content` where one exhaustive grammar splits each segment and bytes are spelled last: a
+        piece seen before costs one lookup."""
+        find, memo, out = self.find_raw, self.raw_memo, []
+        for part, i in self.segments(text) if self.added.tokens or self.spec.normalizer else [(text, None)] if text else []:
+            if i is not None:
+                out.append(i)
+                continue
+            for piece in find(part):
+                out += memo[piece] if piece in memo else self.encode_raw(piece)
+        return out
+
     def content(self, text: str) -> list[int]:
+        if self.find_raw is not None:
+            return self._content_raw(text)
         encode = self.model.encode
         out: list[int] = []
         for piece, i in self.pieces(text):
@@ -176,3 +206,19 @@ class Tokenizer:
         """Ids that nothing has are left out."""
         kept = (i for i in ids if not (skip_special_tokens and i in self.added.special))
         return self.decode_tokens([t for i in kept if (t := self.id_to_token(i)) is not None])
+
+
+def _raw_words(config: dict | None):
+    """findall of the grammar of a pre-tokenizer that is one exhaustive split and then byte level, or
+    None. A prefix space, or any other step, needs the general path."""
+    steps = config["pretokenizers"] if config and config["type"] == "Sequence" else [config] if config else []
+    if not steps or steps[-1]["type"] != "ByteLevel" or steps[-1].get("add_prefix_space", True):
+        return None
+    own = steps[-1].get("use_regex", True)
+    if len(steps) == 1 and own:
+        return regex.compile(for_python(GRAMMARS["gpt2"])).findall
+    if len(steps) == 2 and not own and steps[0]["type"] == "Split" and steps[0]["behavior"] == "Isolated" and not steps[0].get("invert"):
+        pattern = steps[0]["pattern"].get("Regex")
+        if pattern and name_of(pattern) in EXHAUSTIVE:
+            return regex.compile(for_python(pattern)).findall
+    return None
