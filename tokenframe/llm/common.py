@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -40,12 +42,17 @@ def cut(df: DataFrame) -> DataFrame:
 _holder: list = []
 
 
-def claim(owner: object, forget) -> None:
-    """Called in a worker by an operator that keeps a memo there: what another one kept is dropped, so
-    that a worker which serves several stages holds one memo at a time."""
-    if _holder and _holder[0] is not owner:
+def claim(owner: object, forget: Callable[[], None] = bool) -> None:
+    """Called in a worker by each operator: what another one kept there is dropped and given back to
+    the system, so that a worker which serves several stages holds one operator's memo at a time."""
+    if _holder and _holder[0] is owner:
+        return
+    if _holder:
         _holder[1]()
         gc.collect()
+        pa.default_memory_pool().release_unused()
+        if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+            libc.malloc_trim(0)
     _holder[:] = [owner, forget]
 
 

@@ -224,6 +224,7 @@ def fit(labelled: DataFrame, path: str | None = None, per_language: int = 1000,
         now = sample.sparkSession.sparkContext.broadcast(p)
 
         def expect(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
+            claim(words)
             own = prefixes(path)
             total = np.zeros((n, len(languages)))
             for batch in batches:

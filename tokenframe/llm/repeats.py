@@ -31,10 +31,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, cut, texts_of
+from .common import blocks, claim, cut, texts_of
 
 U = np.uint64
-BLOCK = 1 << 20  # bytes that one round of array operations takes
+BLOCK = 1 << 19  # bytes that one round of array operations takes
 GATHERED = 256  # members of different neighbourhood under one name that are compared in one place
 CELL = 10  # windows that are compared together first where more are
 _BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
@@ -181,6 +181,7 @@ def sampled_runs(docs: DataFrame, unit: str, k: int, span: int) -> DataFrame:
     """(id, lo, hi, name, wide) of all runs of windows; docs has (id, text)."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim(repeated)
         for batch in batches:
             data, offsets = texts_of(batch.column(1))
             ids = batch.column(0).to_numpy(zero_copy_only=False)
@@ -250,6 +251,7 @@ def _windows(unit: str, k: int, span: int) -> Callable[[Iterator[pa.RecordBatch]
     row for each cell of a grid of CELL window starts that is laid from the sampled position."""
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim(repeated)
         for batch in batches:
             data, offsets = texts_of(batch.column(1))
             ids = batch.column(0).to_numpy(zero_copy_only=False)
@@ -277,6 +279,7 @@ def _equal_few(keep_first: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterato
     """Repeats among the windows of the at most GATHERED members that each row holds."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim(repeated)
         for batch in batches:
             groups = batch.column(0)
             per = np.diff(groups.offsets.to_numpy())

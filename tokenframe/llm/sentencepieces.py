@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import claim
 
 MARK = "▁"
-MEMO, MEMO_CHARS = 1 << 18, 64  # entries of a worker's memo (it has two), and the longest unit that it keeps
+MEMO, MEMO_CHARS = 3 << 16, 64  # entries of a worker's memo (it has two), and the longest unit that it keeps
 SHORT, NEVER = 48, float("inf")
 
 
@@ -53,8 +53,8 @@ class PieceModel:
         self.units = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+") if not any(inner.search(p) for p in self.id_of) else re.compile(r"(?s).+")
         self.rank = {p: -self.scores[i] for p, i in self.id_of.items()}
         self.bridged = {pair for p in self.id_of for pair in zip(p, p[1:], strict=False)}
-        self.memo: dict[str, tuple[int, str, str]] = {}
-        self.old: dict[str, tuple[int, str, str]] = {}
+        self.memo: dict[str, str] = {}
+        self.old: dict[str, str] = {}
         self.unchecked: list[tuple[str, list[int]]] = []
 
     def encode_unit(self, unit: str) -> list[int]:
@@ -158,14 +158,14 @@ class PieceModel:
         cuts = [i for i, pair in enumerate(zip(unit, unit[1:], strict=False), 1) if pair not in bridged]
         return [unit[i:j] for i, j in zip([0, *cuts], [*cuts, len(unit)], strict=True)] if cuts else [unit]
 
-    def _whole(self, part: str) -> tuple[int, str, str]:
+    def _whole(self, part: str) -> str:
         ids = self.encode_unit(part)
         self.unchecked.append((part, ids))
-        plain = self.byte_of.keys().isdisjoint(ids)
-        said = "".join([self.pieces[i] for i in ids]).replace(MARK, " ") if plain else self._pieces(ids)
-        return len(ids), ",".join(map(str, ids)), said
+        if self._pieces(ids) != part.replace(MARK, " "):
+            raise AssertionError(f"the ids of {part!r} decode to another text")
+        return ",".join(map(str, ids))
 
-    def _recalled(self, unit: str, make) -> tuple[int, str, str]:
+    def _recalled(self, unit: str, make) -> str:
         if (x := self.old.get(unit)) is None:
             x = make(unit)
         if len(unit) <= MEMO_CHARS:
@@ -174,19 +174,19 @@ class PieceModel:
             self.memo[unit] = x
         return x
 
-    def _of_parts(self, unit: str) -> tuple[int, str, str]:
+    def _of_parts(self, unit: str) -> str:
         parts = self.parts(unit)
         if len(parts) == 1:
             return self._whole(unit)
-        got = [self.memo.get(p) or self._recalled(p, self._whole) for p in parts]
-        return sum(x[0] for x in got), ",".join([x[1] for x in got]), "".join([x[2] for x in got])
+        return ",".join([self.memo.get(p) or self._recalled(p, self._whole) for p in parts])
 
-    def known(self, units: list[str]) -> list[tuple[int, str, str]]:
-        """(number of ids, ids joined by commas, decoded text) of each unit."""
+    def known(self, units: list[str]) -> list[str]:
+        """The ids, joined by commas, of each unit. They decode to the unit, with spaces for marks:
+        that is checked when a part is encoded, and runs of bytes never cross parts' ends."""
         got = list(map(self.memo.get, units))
         if None not in got:
             return got
-        fresh: dict[str, tuple[int, str, str]] = {}
+        fresh: dict[str, str] = {}
         for i, x in enumerate(got):
             if x is None:
                 u = units[i]
@@ -210,11 +210,11 @@ class PieceModel:
         ids, out, n = hashlib.sha256(), hashlib.sha256(), 0
         units = self.units.findall(self.normalized(text))
         for at in range(0, len(units), 1 << 16):
-            got = self.known(units[at : at + (1 << 16)])
-            counts, own, said = zip(*got, strict=True)
-            n += sum(counts)
-            ids.update((("," if at else "") + ",".join(own)).encode())
-            said = "".join(said)
+            some = units[at : at + (1 << 16)]
+            own = ",".join(self.known(some))
+            n += own.count(",") + 1
+            ids.update((("," if at else "") + own).encode())
+            said = "".join(some).replace(MARK, " ")
             out.update((said if at else said[1:]).encode())
         return n, ids.hexdigest(), out.hexdigest()
 

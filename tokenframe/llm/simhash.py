@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, texts_of
+from .common import claim, cut, texts_of
 from .components import connected_components
 
 BYTES, BITS = 8, 2
@@ -52,6 +52,7 @@ def fingerprints(text: Column, width: int = 3) -> Column:
 
     @F.arrow_udf("long")
     def run(column: pa.Array) -> pa.Array:
+        claim(fingerprint)
         data, at = texts_of(column)
         whole = data.tobytes()
         return pa.array(np.array([fingerprint(whole[at[i] : at[i + 1]], width) for i in range(len(at) - 1)], np.uint64).view(np.int64))
