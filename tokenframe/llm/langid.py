@@ -263,7 +263,8 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", out: str = "l
         rows = [m.score(t or "") for t in column.to_pylist()]
         return pa.StructArray.from_arrays([pa.array([x[0] for x in rows], pa.string()), pa.array([x[1] for x in rows], pa.float64())], ["lang_pred", "score"])
 
-    return docs.withColumn(out, run(F.col(text_col)))
+    # taken for nondeterministic, a filter on the result doesn't make Catalyst score each text twice
+    return docs.withColumn(out, run.asNondeterministic()(F.col(text_col)))
 
 
 def fold(id_col: str, folds: int):
