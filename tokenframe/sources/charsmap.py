@@ -33,6 +33,6 @@ def build(mapping: dict[str, str]) -> str:
 
     if place:
         settle(0, b"")
-    size = max(units) + 1
+    size = (max([*units, *bases]) | 0xFF) + 1  # a reader looks anywhere in a block of 256
     trie = struct.pack(f"<{size}I", *(units.get(i, 0xFF) for i in range(size)))
     return base64.b64encode(struct.pack("<I", len(trie)) + trie + bytes(texts)).decode()
