@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import hostrules, htmltext, langid, minhash, mixing, quality, sentencepieces, simhash, substring_dedup, suffix_dedup
 from .common import table
+from .oracles import ORACLE_SQL
 
 
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,4 +59,5 @@ QUERIES = {
         op10_quality_classifier,
     )
 }
-ORACLE_SQL: dict[str, str] = {}
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
