@@ -44,3 +44,15 @@ def test_approximate_count_is_near(spark, duck):
     exact = dict(duck.execute(f"SELECT lang, count(DISTINCT piece) FROM (SELECT lang, unnest({Q.GPT2}) AS piece FROM documents) GROUP BY lang").fetchall())
     for r in Q.QUERIES["approx_distinct_pieces"](spark, SF).collect():
         assert abs(r.about - exact[r.lang]) <= 0.05 * exact[r.lang]
+
+
+def test_byte_level_prefix_space_spells_every_text(spark, tmp_path):
+    import hashlib
+
+    texts = ["Déjà vu", " né", "a\tb\r\n", "漢字 ✓", "", "plain"]
+    spark.createDataFrame([(i, t, "s", "l") for i, t in enumerate(texts)], "doc_id long, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n, r.digest) for r in Q.QUERIES["byte_level_prefix_space_hex"](spark, str(tmp_path)).collect()}
+    pieces = [[" Déjà", " vu"], [" né"], [" a", "\t", "b", "\r\n"], [" 漢字", " ✓"], [], [" plain"]]
+    assert set(got) == set(range(len(texts)))
+    for i, want in enumerate(pieces):
+        assert got[i] == (len(want), hashlib.md5(chr(31).join(x.encode().hex().upper() for x in want).encode()).hexdigest())

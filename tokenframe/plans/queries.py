@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions.grammars import EXHAUSTIVE, GRAMMARS
+from ..functions.pretokenizers import BYTE_CHAR
 from ..operators import arrow
 from ..sources import corpus, samples
 from ..sources.spec import TokenizerSpec
@@ -156,6 +157,19 @@ def byte_level_prefix_space(spark, sf_dir):
     return _arrow_pieces(own, samples.byte_bpe(prefix=True))
 
 
+def _unspelled(piece: Column) -> Column:
+    """The bytes, in hex, that a byte-level piece spells."""
+    hexes = F.create_map(*[F.lit(x) for b, c in BYTE_CHAR.items() for x in (c, f"{b:02X}")])
+    return F.array_join(F.transform(F.split(piece, ""), lambda c: F.element_at(hexes, c)), "")
+
+
+@query(sql_digest(f"list_transform({GPT2.replace('(text', '(t')}, lambda p: hex(encode(p)))", "(SELECT doc_id, CASE WHEN text = '' OR starts_with(text, ' ') THEN text ELSE ' ' || text END AS t FROM documents)"))
+def byte_level_prefix_space_hex(spark, sf_dir):
+    """All texts; pieces come out as the bytes they spell."""
+    pieces = arrow.pieces(F.col("text"), samples.byte_bpe(prefix=True))
+    return digest(docs(spark, sf_dir), F.transform(pieces, lambda p: _unspelled(p["text"])))
+
+
 # normalizers
 
 query("SELECT doc_id, md5(replace(text, 'the', 'θ')) AS digest FROM documents", "replace_literal")(lambda spark, d: _md5(spark, d, C.replace_literal(F.col("text"), "the", "θ")))
