@@ -1,9 +1,9 @@
 """Removal of byte strings that occur more than once (suffix-array deduplication).
 
-Which bytes go is decided by `repeats`: a sorted sample of suffixes with names, recursion on the
-names' neighbourhoods, merging of the remaining suffixes, comparison of adjacent prefixes of
-`span` bytes. Its sample is a content-defined difference cover in place of the positions that
-aren't multiples of three; the README says why.
+Which bytes go is decided by `repeats`: sampled substrings and then their neighbourhoods are named
+by hash, at two fixed lengths, and windows of `span` bytes with equal names are grouped. There is no
+recursion on names, no order of suffixes and no merge; the sample is a content-defined difference
+cover in place of the positions that aren't multiples of three. The README says why.
 """
 
 from __future__ import annotations
