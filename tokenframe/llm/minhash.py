@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from .common import cut
+
 BINS, SHIFT, BITS, SHINGLE, PROBES = 128, 56, 8, 5, 16
 LOW = (1 << SHIFT) - 1
 SPACE = " \t\n\x0b\x0c\r"
@@ -88,39 +90,53 @@ def likeness(a: Column, b: Column) -> Column:
     return F.greatest(F.lit(0.0), (1 - wrong / F.lit(float(BINS)) - chance) / (1 - chance))
 
 
-def _bucket(id_: Column, bounds: list) -> Column:
-    """Index of the range that id falls in, by a search over groups of bounds, then inside one."""
-    if not bounds:
-        return F.lit(0)
-    wide = max(1, int(len(bounds) ** 0.5))
-    coarse = F.array(*[F.lit(b) for b in bounds[wide - 1 :: wide]]) if len(bounds) >= wide else F.array()
-    every = F.array(*[F.lit(b) for b in bounds])
-    below = lambda x: x < id_
-    return F.coalesce(let(F.size(F.filter(coarse, below)) * wide, lambda at: at + F.size(F.filter(F.slice(every, at + 1, F.lit(wide)), below))), F.lit(0))
+def _sortable(docs: DataFrame, id_col: str) -> tuple[Column, Column]:
+    """Whether an id is there, and a value of the same order that is never null: numbers and strings
+    stay as they are, other types are ordered as strings."""
+    kind = dict(docs.dtypes)[id_col]
+    if kind != "string" and not kind.startswith(("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")):
+        kind = "string"
+    return F.col(id_col).isNotNull(), F.coalesce(F.col(id_col).cast(kind), F.lit("0").cast(kind))
+
+
+def ordered(keys: DataFrame) -> DataFrame:
+    """keys, of distinct (has, key, tie), with the struct `before`: the row of greatest key under this
+    one's, and for the least of all the greatest.
+
+    A range partitioning on the whole key orders them, so that no group of equal ids is ordered in
+    one task; the last row of each partition is broadcast, as many as there are shuffle partitions.
+    """
+    at = F.struct("has", "key", "tie")
+    placed = cut(keys.repartitionByRange("has", "key", "tie").withColumn("part", F.spark_partition_id()))
+    parts = Window.partitionBy(F.lit(0)).orderBy("of")  # one row for each partition
+    ends = placed.groupBy(F.col("part").alias("of")).agg(F.max(at).alias("last"))
+    ends = ends.select("of", F.coalesce(F.lag("last").over(parts), F.max("last").over(parts.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("edge"))
+    own = placed.withColumn("lag", F.lag(at).over(Window.partitionBy("part").orderBy("has", "key", "tie")))
+    return own.join(F.broadcast(ends), F.col("part") == F.col("of")).select(*keys.columns, F.coalesce("lag", "edge").alias("before"))
+
 
+def with_next(docs: DataFrame, id_col: str, text_col: str, fp: Column) -> DataFrame:
+    """id, text, fp, next_fp, next_text, copies of each row and its successor in descending id.
 
-def with_next(docs: DataFrame, id_col: str, text_col: str, derived: dict[str, Column], ranges: int | None = None) -> DataFrame:
-    """docs with the `derived` columns (functions of the text), and next_<c> of the text and of each of
-    them: the value of the row that follows in descending id, and for the last row of the first.
+    next_text is as much of the next row's text as a third of the own text's length takes; after the last row
+    comes the first. Null ids count as least. Rows that repeat an id are ordered by the hash of
+    their texts; those that repeat an id and a text are one row here, or two: one that is followed
+    by the next text, and `copies` that are followed by their own.
 
-    Ids are cut into ranges at approximate quantiles; each range is ordered on its own, after a
-    copy of the row that follows its last one. Null ids count as least; rows that repeat
-    an id are ordered by the hash of their texts. Of each range one row is broadcast, or ordered in
-    one place; `ranges` (three for each shuffle partition) bounds them.
+    The order is found on keys alone. Texts are shuffled by their keys once, and the share of
+    them that their predecessors need once more.
     """
-    spark = docs.sparkSession
-    ranges = ranges or 3 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = docs.agg(F.percentile_approx(id_col, [i / ranges for i in range(1, ranges)], 10 * ranges).alias("q")).first().q
-    docs = docs.withColumns({"_bucket": _bucket(F.col(id_col), sorted(set(cuts or []))), "_tie": F.xxhash64(text_col)})
-    top = docs.groupBy("_bucket").agg(F.max(id_col).alias("_top")).withColumnRenamed("_bucket", "_of")
-    last = docs.join(F.broadcast(top), (F.col("_bucket") == F.col("_of")) & F.col(id_col).eqNullSafe(F.col("_top")))
-    last = last.groupBy("_bucket").agg(F.max_by(F.struct(text_col), "_tie").alias("_row"))
-    order = Window.partitionBy(F.lit(0)).orderBy("_bucket")  # one row for each range
-    before = F.coalesce(F.lag("_row").over(order), F.last("_row").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    ghosts = last.select("_bucket", F.lit(0).alias("_real"), before.alias("_row")).select("_bucket", "_real", f"_row.{text_col}")
-    rows = docs.withColumn("_real", F.lit(1)).unionByName(ghosts, allowMissingColumns=True).withColumns(derived)
-    w = Window.partitionBy("_bucket").orderBy("_real", F.col(id_col).asc_nulls_first(), "_tie")
-    return rows.withColumns({f"next_{c}": F.lag(c).over(w) for c in (text_col, *derived)}).where("_real = 1").drop("_bucket", "_real", "_tie")
+    has, key = _sortable(docs, id_col)
+    rows = docs.select(F.col(id_col).alias("id"), has.alias("has"), key.alias("key"), F.xxhash64(text_col).alias("tie"), F.col(text_col).alias("text"))
+    keys = rows.groupBy("has", "key", "tie").agg(F.max(F.floor(F.length("text") / 3)).cast("int").alias("third"))
+    to = ordered(keys).select("before.*", F.struct("has", "key", "tie").alias("to"), "third")
+    own = rows.groupBy("has", "key", "tie").agg(F.count("*").alias("n"), F.first(F.struct("id", "text", fp.alias("fp"))).alias("row"))
+    # both uses of `own` read the same columns, so that Spark shuffles the texts once
+    given = own.where("n > 0").join(to, ["has", "key", "tie"]).select("to.*", F.col("row.fp").alias("next_fp"), F.left("row.text", F.col("third")).alias("next_text"))
+    both = own.where("n > 0").join(given, ["has", "key", "tie"]).select("n", "row.*", "next_fp", "next_text")
+    follower = F.struct(F.lit(1).cast("long").alias("copies"), "next_fp", "next_text")
+    itself = F.struct((F.col("n") - 1).alias("copies"), F.col("fp").alias("next_fp"), F.left("text", F.floor(F.length("text") / 3).cast("int")).alias("next_text"))
+    return both.select("id", "text", "fp", F.explode(F.when(F.col("n") > 1, F.array(follower, itself)).otherwise(F.array(follower))).alias("f")).select("id", "text", "fp", "f.*")
 
 
 def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -129,15 +145,17 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     The edited text has the last third of the code points (rounded down) replaced by the first as
     many of the next document's in descending id, or by all where that has fewer. A table of one
-    row is its own next document; wordless texts share one fingerprint.
+    row is its own next document; wordless texts share one fingerprint; null counts as empty. Ids may
+    be of any type that orders: rows of null ids come last, and rows that repeat an id are ordered by the hash
+    of their texts.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    own = with_next(docs.select(F.col(id_col).alias("id"), text.alias("text")), "id", "text", {"fp": fingerprint(F.col("text"))})
+    own = with_next(docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), "id", "text", fingerprint(F.col("text")))
     third = F.floor(F.length("text") / 3).cast("int")
-    edited = F.concat(F.left("text", F.length("text") - third), F.left("next_text", third))
-    own = own.select("id", "fp", "next_fp", F.length("text").cast("long").alias("n_chars"), edited.alias("edited"))
-    own = own.select("id", "n_chars", "fp", "next_fp", F.sha2("edited", 256).alias("edited_sha256"), fingerprint(F.col("edited")).alias("efp"))
-    return own.select(
-        F.col("id").alias(id_col), "n_chars", "edited_sha256", hexadecimal(F.col("fp")).alias("fingerprint"), hexadecimal(F.col("efp")).alias("edited_fingerprint"),
-        likeness(F.col("fp"), F.col("efp")).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
+    edited = F.concat(F.left("text", F.length("text") - third), F.col("next_text"))
+    own = own.select("id", "fp", "next_fp", "copies", F.length("text").cast("long").alias("n_chars"), edited.alias("edited"))
+    own = own.select("id", "n_chars", "fp", "next_fp", "copies", F.sha2("edited", 256).alias("edited_sha256"), fingerprint(F.col("edited")).alias("efp"))
+    own = own.select(
+        "id", "n_chars", "edited_sha256", hexadecimal(F.col("fp")).alias("fingerprint"), hexadecimal(F.col("efp")).alias("edited_fingerprint"),
+        likeness(F.col("fp"), F.col("efp")).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp")).alias("near_next"), F.explode(F.sequence(F.lit(1).cast("long"), "copies")),
     )
+    return own.drop("col").withColumnRenamed("id", id_col)
