@@ -36,13 +36,14 @@ named AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM (SE
 repeats AS (SELECT doc_id, i FROM named WHERE n > 1), {_islands('repeats', 5)},
 covered AS (SELECT doc_id, sum(hi - lo + 1) AS n FROM runs GROUP BY doc_id),
 m AS (SELECT doc_id, source, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(len(ls) - list_unique(ls) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words, len(ls) AS n_lines FROM d LEFT JOIN covered USING (doc_id)),
-r AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m),
-f AS (SELECT *, base_failed OR n_symbols > CAST(0.25 AS DOUBLE) * n_words OR n_dup_lines > CAST(0.3 AS DOUBLE) * n_lines AS failed FROM r),
-h AS (SELECT source, CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER (WHERE failed) AS DOUBLE) AS k FROM f WHERE source IS NOT NULL GROUP BY source),
-a AS (SELECT sum(n) AS n, count(*) AS hosts, sum(n * n) AS nn, least(greatest(sum(k) / sum(n), 1e-6), 1 - 1e-6) AS mean, sum(k * k / n) AS squares FROM h),
-b AS (SELECT mean, (squares - n * mean * mean - (hosts - 1) * mean * (1 - mean)) / greatest(n - nn / n, 1e-9) AS between_ FROM a),
-p AS (SELECT mean, CASE WHEN between_ > 0 THEN least(greatest(mean * (1 - mean) / between_ - 1, 1), 1e6) ELSE 1e6 END AS strength FROM b),
-v AS (SELECT source, (k + strength * mean) / (n + strength) > 0.5 AND k > 0.5 * n AS rejected FROM h, p)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT failed AND NOT coalesce(rejected, false) AS kept, coalesce(rejected, false) AS host_rejected FROM f LEFT JOIN v USING (source)"""
+r AS (SELECT *, n_words < 10 AS short, 100 * n_repeat_words > 20 * n_words AS repeats, n_symbols > CAST(0.25 AS DOUBLE) * n_words AS symbols, n_dup_lines > CAST(0.3 AS DOUBLE) * n_lines AS lines FROM m),
+f AS (SELECT *, short OR repeats AS base_failed, short OR repeats OR symbols OR lines AS failed FROM r),
+g AS (SELECT source, unnest([{{'rule': 'short', 'most': 0.4, 'bad': short}}, {{'rule': 'repeats', 'most': 0.4, 'bad': repeats}}, {{'rule': 'symbols', 'most': 0.4, 'bad': symbols}}, {{'rule': 'lines', 'most': 0.4, 'bad': lines}}, {{'rule': 'failed', 'most': 0.5, 'bad': failed}}]) AS x FROM f WHERE source IS NOT NULL),
+h AS (SELECT source, x.rule AS rule, CAST(max(x.most) AS DOUBLE) AS most, CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER (WHERE x.bad) AS DOUBLE) AS k FROM g GROUP BY source, x.rule),
+a AS (SELECT rule, sum(n) AS n, count(*) AS hosts, sum(n * n) AS nn, sum(k) / sum(n) AS rate, least(greatest(sum(k) / sum(n), 1e-6), 1 - 1e-6) AS mean, sum(k * k / n) AS squares FROM h GROUP BY rule),
+b AS (SELECT rule, rate, mean, (squares - n * mean * mean - (hosts - 1) * mean * (1 - mean)) / greatest(n - nn / n, 1e-9) AS between_ FROM a),
+p AS (SELECT rule, rate, mean, CASE WHEN between_ > 0 THEN least(greatest(mean * (1 - mean) / between_ - 1, 1), 1e6) ELSE 1e6 END AS strength FROM b),
+v AS (SELECT source, bool_or((k + strength * mean) / (n + strength) > most AND k / n > rate) AS rejected FROM h JOIN p USING (rule) GROUP BY source)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(rejected, false) AS kept, coalesce(rejected, false) AS host_rejected FROM f LEFT JOIN v USING (source)"""
 
 ORACLE_SQL = {"op1_suffix_array_dedup": OP1, "op4_quality_rules": OP4, "op9_substring_dedup": OP9}
