@@ -1,7 +1,9 @@
 import itertools
 import math
+from decimal import Decimal, getcontext
 
 import numpy as np
+import pytest
 
 from tokenframe.llm import langid as L
 from tokenframe.llm.sentencepieces import default_model
@@ -39,6 +41,43 @@ def test_expected_counts_match_numerical_gradient():
         assert abs(slope - got[i]) < 1e-3
 
 
+def brute_sums(word, vocab, p):
+    """Sum over the segmentations of each prefix, by the last piece; exact in 100-digit decimals."""
+    getcontext().prec = 100
+    a = [[Decimal(1)] * p.shape[1]]
+    for e in range(1, len(word) + 1):
+        row = [Decimal(0)] * p.shape[1]
+        for b in range(max(0, e - 4), e):
+            i = vocab.get(word[b:e], 6 if e - b == 1 else None)
+            if i is not None:
+                row = [r + a[b][k] * Decimal(float(p[i, k])) for k, r in enumerate(row)]
+        a.append(row)
+    return [float(x.ln()) for x in a[-1]]
+
+
+def test_words_of_any_length_equal_brute_force():
+    vocab = {"▁": 0, "a": 1, "b": 2, "ab": 3, "▁a": 4, "ba": 5}
+    rng = np.random.default_rng(1)
+    p = rng.random((7, 2)) * [1e-2, 1e-6]
+    m = L.Model(["x", "y"], np.zeros(2), p, "")
+    m.known = L.Prefixes(vocab)
+    m.log_p = np.log(p)
+    for n in (39, 40, 41, 100, 3000):
+        w = "▁" + "".join(rng.choice(list("abc"), n, p=[0.49, 0.49, 0.02]))
+        assert np.allclose(m._long(w), brute_sums(w, vocab, p), rtol=1e-9)
+    for w in ("▁abab", "▁babbaabab"):
+        one = L.Lattice([w], m.known)
+        assert np.allclose(one.log_expected(np.log(p[:, :1]), 3.0), one.expected(p[:, :1], np.array([3.0])))
+        assert np.allclose(one.log_likelihood(np.log(p)), one.likelihood(p)[0])
+
+
+def test_only_letters_and_their_marks_make_words():
+    assert L.words("A² ½ Ⅷ ① x_y 12 don't") == ["▁a", "▁x", "▁y", "▁don", "▁t"]
+    assert L.words("e\u0301te\u0301 \u0301") == ["▁e\u0301te\u0301"]
+    m = L.Model(["x"], np.zeros(1), np.ones((1, 1)), "")
+    assert [m.score(t) for t in ("²", "½ ⅷ ①", "", "42")] == [("und", 0.0)] * 4
+
+
 def test_learns_and_predicts(spark):
     base = [(i, f"{EN} {i}" if i % 2 else f"{FR} {i}", "en" if i % 2 else "fr") for i in range(80)]
     base += [(100, None, "en"), (101, "", None), (102, "123 !?", "fr"), (103, "x" * 5000, None), (1, "the house", "en")]
@@ -60,3 +99,11 @@ def test_odd_tables(spark):
     unlabelled = documents(spark).withColumn("lang", L.F.lit(None).cast("string"))
     assert {r.lang_pred for r in L.identify(unlabelled).collect()} == {"und"}
     assert default_model().endswith(".model")
+
+
+def test_ties_and_too_many_languages(spark):
+    m = L.Model(["a", "b"], np.log([0.5, 0.5]), np.full((len(L.pieces(default_model())) + 1, 2), 1e-4), default_model()).ready()
+    assert m.score("some words") == ("a", 0.5)
+    d = spark.createDataFrame([(i, "word", f"l{i}") for i in range(5)], "id long, text string, lang string")
+    with pytest.raises(ValueError, match="more than 4 languages"):
+        L.fit(d, most_languages=4)

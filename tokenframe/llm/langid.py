@@ -5,21 +5,23 @@ in a language is the sum, over all its segmentations into pieces, of the product
 probabilities; the forward algorithm gives it in time linear in the word. A text's score is the
 posterior of its languages given all its words.
 
-Words are runs of letters, lower-cased, with a leading word mark; runs of over 40 letters are scored
-in stretches of 40. Probabilities are fitted by expectation maximisation (forward and backward
-sums) on a bounded sample: at most `per_language` labelled rows of each language, those of least
-seeded hash. Prediction uses the text only.
+Words are runs of letters (Unicode category L) and the marks that follow them, lower-cased, with a
+leading word mark. Words of up to SHORT letters are summed many at a time; longer ones, of any length,
+one at a time on a logarithmic scale, after exact cuts where no piece spans both sides.
+Probabilities are fitted by expectation maximisation (forward and backward sums) on a bounded sample:
+about `per_language` labelled rows of each language, those of least seeded hash. Prediction uses
+the text only.
 """
 
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,8 +30,8 @@ from .common import claim, cut
 from .repeats import mixed
 from .sentencepieces import MARK, default_model
 
-LETTERS = re.compile(r"[^\W\d_]+")
-STRETCH, MEMO = 40, 1 << 18  # a worker has two memos
+LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
+SHORT, MEMO = 40, 1 << 20  # numbers that a worker's memo holds (it has two)
 U = np.uint64
 UNKNOWN = 1e-7  # probability, in every language, of a character that no piece spells
 
@@ -60,11 +62,7 @@ def prefixes(path: str) -> Prefixes:
 
 
 def words(text: str) -> list[str]:
-    out = []
-    for w in LETTERS.findall(text.lower()):
-        w = MARK + w
-        out += [w] if len(w) <= STRETCH else [w[i : i + STRETCH] for i in range(0, len(w), STRETCH)]
-    return out
+    return [MARK + w for w in LETTERS.findall(text.lower())]
 
 
 class Prefixes:
@@ -72,6 +70,7 @@ class Prefixes:
 
     def __init__(self, vocab: dict[str, int]):
         self.unknown = len(vocab)
+        self.bridged = {pair for p in vocab for pair in zip(p, p[1:], strict=False)}
         own = {p[:n]: -1 for p in vocab for n in range(1, len(p))} | vocab
         h = np.zeros(len(own), U)
         spelled = list(own)
@@ -81,6 +80,12 @@ class Prefixes:
         order = np.argsort(h)
         self.keys, self.ids = h[order], np.array(list(own.values()), np.int64)[order]
 
+    def parts(self, word: str) -> list[str]:
+        """word, cut between characters that no piece has side by side: every segmentation cuts there,
+        so the sum over segmentations is the product of the parts' sums."""
+        ends = [i for i, pair in enumerate(zip(word, word[1:], strict=False), 1) if pair not in self.bridged]
+        return [word[i:j] for i, j in zip([0, *ends], [*ends, len(word)], strict=True)]
+
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Whether each hash is a prefix's, and its piece."""
         at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
@@ -143,6 +148,29 @@ class Lattice:
         """log of the sum over segmentations, by word and language."""
         return np.log(self.forward(p)[np.arange(len(self.sizes)) * self.width + self.sizes])
 
+    def _log_sweep(self, log_p: np.ndarray, into: np.ndarray, out_of: np.ndarray, first: int) -> np.ndarray:
+        """log of the sums over paths of a lattice of one word, from `first`, by position and language."""
+        n = int(self.sizes[0])
+        total = np.zeros((n + 1, log_p.shape[1]))
+        by = np.argsort(into, kind="stable")
+        cuts = np.searchsorted(into[by], np.arange(n + 2))
+        for t in range(1, n + 1) if first == 0 else range(n - 1, -1, -1):
+            e = by[cuts[t] : cuts[t + 1]]
+            x = total[out_of[e]] + log_p[self.piece[e]]
+            top = x.max(0)
+            total[t] = top + np.log(np.exp(x - top).sum(0))
+        return total
+
+    def log_likelihood(self, log_p: np.ndarray) -> np.ndarray:
+        """As `likelihood`, for a single word of any length."""
+        return self._log_sweep(log_p, self.end, self.start, 0)[-1]
+
+    def log_expected(self, log_p: np.ndarray, count: float) -> np.ndarray:
+        """As `expected`, for a single word of any length."""
+        a, b = self._log_sweep(log_p, self.end, self.start, 0), self._log_sweep(log_p, self.start, self.end, int(self.sizes[0]))
+        share = np.exp(a[self.start, 0] + log_p[self.piece, 0] + b[self.end, 0] - a[-1, 0])
+        return np.bincount(self.piece, share * count, minlength=len(log_p))
+
     def expected(self, p: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Expected number of each piece in one language; counts: of the words."""
         a, b = self.forward(p)[:, 0], self.backward(p)[:, 0]
@@ -162,7 +190,9 @@ class Model:
         self.known = prefixes(self.path)
         self.memo: dict[str, int] = {}
         self.old: dict[str, int] = {}
-        self.rows, self.old_rows = np.zeros((2, MEMO, len(self.languages)))
+        self.most = max(1 << 10, MEMO // max(len(self.languages), 1))
+        self.rows, self.old_rows = np.zeros((2, self.most, len(self.languages)))
+        self.log_p = np.log(self.p)
         return self
 
     def forget(self) -> None:
@@ -171,28 +201,46 @@ class Model:
     def _remember(self, some: list[str]) -> None:
         """Put the likelihoods of words into the memo; a full memo becomes the old one."""
         missing = list({w for w in some if w not in self.memo})
-        if len(self.memo) + len(missing) > MEMO:
+        if len(self.memo) + len(missing) > self.most:
             self.old, self.memo = self.memo, {}
             self.rows, self.old_rows = self.old_rows, self.rows
             missing = list(set(some))
         recalled = [w for w in missing if w in self.old]
         first = len(self.memo)
         self.rows[first : first + len(recalled)] = self.old_rows[[self.old[w] for w in recalled]]
-        self.memo.update(zip(recalled, range(first, MEMO)))
+        self.memo.update(zip(recalled, range(first, self.most)))
         new = [w for w in missing if w not in self.old] if recalled else missing
         for j in range(0, len(new), 4096):
             part, first = new[j : j + 4096], len(self.memo)
             self.rows[first : first + len(part)] = Lattice(part, self.known).likelihood(self.p)
-            self.memo.update(zip(part, range(first, MEMO)))
+            self.memo.update(zip(part, range(first, self.most)))
+
+    def _long(self, word: str) -> np.ndarray:
+        parts = Counter(self.known.parts(word))
+        short = [x for x in parts if len(x) <= SHORT]
+        total = np.zeros(len(self.languages))
+        for i in range(0, len(short), 512):
+            some = short[i : i + 512]
+            total += np.array([parts[x] for x in some], float) @ Lattice(some, self.known).likelihood(self.p)
+        for x, n in parts.items():
+            if len(x) > SHORT:
+                total += n * Lattice([x], self.known).log_likelihood(self.log_p)
+        return total
 
     def score(self, text: str) -> tuple[str, float]:
-        """(language, its posterior); ("und", 0.0) for a text without a letter."""
+        """(language, its posterior); ("und", 0.0) for a text without a letter. Of languages that are equally
+        likely the first by name is given."""
         own = words(text)
         if not own or not self.languages:
             return "und", 0.0
         total = self.priors.copy()
-        for i in range(0, len(own), MEMO // 2):
-            part = own[i : i + MEMO // 2]
+        if max(map(len, own)) > SHORT:
+            for w in own:
+                if len(w) > SHORT:
+                    total += self._long(w)
+            own = [w for w in own if len(w) <= SHORT]
+        for i in range(0, len(own), self.most // 2):
+            part = own[i : i + self.most // 2]
             if not all(map(self.memo.__contains__, part)):
                 self._remember(part)
             total += self.rows[list(map(self.memo.__getitem__, part))].sum(0)
@@ -200,16 +248,18 @@ class Model:
         return self.languages[best], float(1 / np.exp(np.maximum(total - total[best], -700)).sum())
 
 
-
-def fit(labelled: DataFrame, path: str | None = None, per_language: int = 1000, rounds: int = 3, smoothing: float = 0.02, seed: int = 7) -> Model:
+def fit(labelled: DataFrame, path: str | None = None, per_language: int = 1000, rounds: int = 3, smoothing: float = 0.02, seed: int = 7, most_languages: int = 1000) -> Model:
     """Fit on (id, text, lang) rows; rows whose text or lang is null don't count.
 
     The sample holds at most about `per_language` rows of each language, whole texts; expected
-    counts are summed on the executors, and languages x vocabulary numbers come to the driver.
+    counts are summed on the executors, and languages x vocabulary numbers come to the driver and are
+    broadcast: a table of more than `most_languages` is refused.
     """
     path = path or default_model()
     labelled = labelled.where("text is not null and lang is not null")
-    of = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    of = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).limit(most_languages + 1).collect()}
+    if len(of) > most_languages:
+        raise ValueError(f"more than {most_languages} languages: the model would be too large to broadcast")
     languages = sorted(of)
     if not languages:
         return Model([], np.zeros(0), np.zeros((len(pieces(path)) + 1, 0)), path)
@@ -232,11 +282,19 @@ def fit(labelled: DataFrame, path: str | None = None, per_language: int = 1000,
                 for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                     counts.setdefault(lang, Counter()).update(words(text))
                 for lang, c in counts.items():
-                    k, items = languages.index(lang), list(c.items())
+                    k = languages.index(lang)
+                    for w in [w for w in c if len(w) > SHORT]:
+                        m = c.pop(w)
+                        for x in own.parts(w):
+                            c[x] += m
+                    items = [(w, m) for w, m in c.items() if len(w) <= SHORT]
                     for i in range(0, len(items), 4096):
                         part = items[i : i + 4096]
                         lattice = Lattice([w for w, _ in part], own)
                         total[:, k] += lattice.expected(now.value[:, k : k + 1], np.array([x for _, x in part], float))
+                    for w, m in c.items():
+                        if len(w) > SHORT:
+                            total[:, k] += Lattice([w], own).log_expected(np.log(now.value[:, k : k + 1]), m)
             i, k = np.nonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(k), pa.array(total[i, k])], ["piece", "k", "n"])
 
@@ -251,7 +309,7 @@ def fit(labelled: DataFrame, path: str | None = None, per_language: int = 1000,
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text", out: str = "lang_id") -> DataFrame:
     """docs with a struct column `out` (lang_pred, score); null texts and texts without a letter
-    get ("und", 0.0). All other columns stay."""
+    get ("und", 0.0). All other columns stay, but for one of the name `out`, which is replaced."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("lang_pred string, score double")
