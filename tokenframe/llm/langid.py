@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +32,7 @@ from .sentencepieces import MARK, default_model
 
 LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 SHORT, MEMO = 40, 1 << 20  # numbers that a worker's memo holds (it has two)
+TOGETHER = 1 << 14  # words that are looked up together
 U = np.uint64
 UNKNOWN = 1e-7  # probability, in every language, of a character that no piece spells
 
@@ -230,7 +231,26 @@ class Model:
     def score(self, text: str) -> tuple[str, float]:
         """(language, its posterior); ("und", 0.0) for a text without a letter. Of languages that are equally
         likely the first by name is given."""
-        own = words(text)
+        return self._best(words(text))
+
+    def scores(self, texts: Iterable[str]) -> Iterator[tuple[str, float]]:
+        """`score` of each text; the new words of several are summed together."""
+        waiting, n = [], 0
+        for text in texts:
+            own = words(text)
+            waiting.append(own)
+            n += len(own)
+            if n >= TOGETHER:
+                yield from self._all_best(waiting, n)
+                waiting, n = [], 0
+        yield from self._all_best(waiting, n)
+
+    def _all_best(self, texts: list[list[str]], n: int) -> Iterator[tuple[str, float]]:
+        if n <= self.most // 2 and self.languages:
+            self._remember([w for own in texts for w in own if len(w) <= SHORT])
+        yield from map(self._best, texts)
+
+    def _best(self, own: list[str]) -> tuple[str, float]:
         if not own or not self.languages:
             return "und", 0.0
         total = self.priors.copy()
@@ -318,7 +338,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", out: str = "l
         claim(m, m.forget)
         if not hasattr(m, "memo"):
             m.ready()
-        rows = [m.score(t or "") for t in column.to_pylist()]
+        rows = list(m.scores(t or "" for t in column.to_pylist()))
         return pa.StructArray.from_arrays([pa.array([x[0] for x in rows], pa.string()), pa.array([x[1] for x in rows], pa.float64())], ["lang_pred", "score"])
 
     # taken for nondeterministic, a filter on the result doesn't make Catalyst score each text twice

@@ -4,8 +4,8 @@ Adjacent symbol pairs whose concatenation is a piece wait in a heap ordered by s
 position; the best is merged and its new neighbours join the heap. No piece of the vocabulary holds
 a word mark behind another character (checked at load; else whole texts are one unit), so merges
 never cross the start of a run of marks: a text is the concatenation of independent units, and each
-new unit is encoded once per worker. With `verify`, all that was newly encoded in an Arrow batch is
-compared with the sentencepiece library.
+new unit is encoded once per worker. Every id that comes out is decoded again. With `verify`, all
+that was newly encoded in an Arrow batch is compared with the sentencepiece library.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ import hashlib
 import heapq
 import re
 from collections.abc import Iterable
+from itertools import repeat
+from operator import add
 
 import pyarrow as pa
 import sentencepiece
@@ -53,6 +55,7 @@ class PieceModel:
         self.units = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+") if not any(inner.search(p) for p in self.id_of) else re.compile(r"(?s).+")
         self.rank = {p: -self.scores[i] for p, i in self.id_of.items()}
         self.bridged = {pair for p in self.id_of for pair in zip(p, p[1:], strict=False)}
+        self.said = {str(i): b"" if i in self.silent else " ⁇ ".encode() if i == self.unk else bytes([self.byte_of[i]]) if i in self.byte_of else x.replace(MARK, " ").encode() for i, x in enumerate(self.pieces)}
         self.memo: dict[str, str] = {}
         self.old: dict[str, str] = {}
         self.unchecked: list[tuple[str, list[int]]] = []
@@ -69,7 +72,7 @@ class PieceModel:
 
     def _merged_short(self, unit: str) -> list[str]:
         rank, symbol = self.rank.get, list(unit)
-        agenda = [rank(a + b, NEVER) for a, b in zip(symbol, symbol[1:], strict=False)]
+        agenda = list(map(rank, map(add, symbol, symbol[1:]), repeat(NEVER)))
         while agenda and (best := min(agenda)) != NEVER:
             i = agenda.index(best)
             del agenda[i]
@@ -155,15 +158,14 @@ class PieceModel:
     def parts(self, unit: str) -> list[str]:
         """unit, cut between any two characters that no piece has side by side: no merge joins them."""
         bridged = self.bridged
+        if bridged.issuperset(zip(unit, unit[1:], strict=False)):
+            return [unit]
         cuts = [i for i, pair in enumerate(zip(unit, unit[1:], strict=False), 1) if pair not in bridged]
-        return [unit[i:j] for i, j in zip([0, *cuts], [*cuts, len(unit)], strict=True)] if cuts else [unit]
+        return [unit[i:j] for i, j in zip([0, *cuts], [*cuts, len(unit)], strict=True)]
 
     def _whole(self, part: str) -> str:
         ids = self.encode_unit(part)
         self.unchecked.append((part, ids))
-        plain = self.byte_of.keys().isdisjoint(ids)
-        if "".join([self.pieces[i] for i in ids]) != part if plain else self._pieces(ids) != part.replace(MARK, " "):
-            raise AssertionError(f"the ids of {part!r} decode to another text")
         return ",".join(map(str, ids))
 
     def _recalled(self, unit: str, make) -> str:
@@ -182,41 +184,53 @@ class PieceModel:
         return ",".join([self.memo.get(p) or self._recalled(p, self._whole) for p in parts])
 
     def known(self, units: list[str]) -> list[str]:
-        """The ids, joined by commas, of each unit. They decode to the unit, with spaces for marks:
-        that is checked when a part is encoded, and runs of bytes never cross parts' ends."""
+        """The ids, joined by commas, of each unit."""
         got = list(map(self.memo.get, units))
         if None not in got:
             return got
         fresh: dict[str, str] = {}
-        for i, x in enumerate(got):
-            if x is None:
-                u = units[i]
-                if (x := fresh.get(u)) is None:
-                    x = fresh[u] = self._recalled(u, self._of_parts)
-                got[i] = x
+        for i in [i for i, x in enumerate(got) if x is None]:
+            u = units[i]
+            if (x := fresh.get(u)) is None:
+                x = fresh[u] = self._recalled(u, self._of_parts)
+            got[i] = x
         return got
 
+    def decoded(self, ids: list[str]) -> bytes:
+        """The text of decimal ids in the middle of a text: marks are spaces, and bytes that make no
+        character U+FFFD each."""
+        raw = b"".join(map(self.said.__getitem__, ids))
+        try:
+            raw.decode()
+        except UnicodeDecodeError:
+            return self._pieces(map(int, ids)).encode()
+        return raw
+
     def check(self) -> None:
         """Compare the parts encoded since the last call with the library. Behind a line break, of
         which no piece has one, each comes out as in the middle of a text."""
         parts, self.unchecked = self.unchecked, []
         for at in range(0, len(parts), 4096):
             some = parts[at : at + 4096]
-            for (part, ids), theirs in zip(some, self.lib.encode(["\n" + p.replace(MARK, " ") for p, _ in some], num_threads=1), strict=True):
-                if theirs[2:] != ids:
+            theirs = self.lib.encode(["\n" + p.replace(MARK, " ") for p, _ in some], num_threads=1)
+            for (part, ids), x in zip(some, theirs, strict=True):
+                if x[2:] != ids:
                     raise AssertionError(f"ids differ from the library's for {part!r}")
 
     def digest(self, text: str) -> tuple[int, str, str]:
-        """(n_tokens, sha256 of the ids joined by commas, sha256 of the decoded text)."""
+        """(n_tokens, sha256 of the ids joined by commas, sha256 of the text that the ids decode to).
+
+        No run of byte pieces crosses the end of a unit's ids, since a unit's first piece is a mark's.
+        """
         ids, out, n = hashlib.sha256(), hashlib.sha256(), 0
         units = self.units.findall(self.normalized(text))
-        for at in range(0, len(units), 1 << 16):
-            some = units[at : at + (1 << 16)]
-            own = ",".join(self.known(some))
-            n += own.count(",") + 1
+        for at in range(0, len(units), 1 << 14):
+            own = ",".join(self.known(units[at : at + (1 << 14)]))
+            each = own.split(",")
+            n += len(each)
             ids.update((("," if at else "") + own).encode())
-            said = "".join(some).replace(MARK, " ")
-            out.update((said if at else said[1:]).encode())
+            said = self.decoded(each)
+            out.update(said[1:] if not at and said[:1] == b" " else said)
         return n, ids.hexdigest(), out.hexdigest()
 
 
