@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import re
 import tempfile
 from collections.abc import Callable
 
@@ -11,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,11 +20,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; only where that is unset (a local session, as in
-    tests) a temporary one takes its place."""
+    """The folder named in spark.checkpoint.dir. Where that is unset, a session on a cluster is refused, and one
+    in a single process (as in tests) gets a temporary folder."""
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp())
     return sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -72,6 +77,16 @@ def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return cut(ranged.select(F.monotonically_increasing_id().alias("id"), "rest", "text"))
 
 
+def ranked(df: DataFrame, by: list[str], out: str) -> DataFrame:
+    """df with a long column `out`: the place of each row, from 0, in the order of the columns `by`,
+    found by a range partitioning; one count for each partition is broadcast."""
+    placed = cut(df.repartitionByRange(*by).withColumn("_part", F.spark_partition_id()))
+    parts = placed.groupBy(F.col("_part").alias("_of")).agg(F.count("*").alias("_n"))  # one row for each partition
+    parts = parts.select("_of", (F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_of")) - F.col("_n")).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(*by)) - 1 + F.col("_before")
+    return placed.join(F.broadcast(parts), F.col("_part") == F.col("_of")).withColumn(out, place.cast("long")).drop("_part", "_of", "_before")
+
+
 def texts_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of an Arrow string column and each text's offsets in them; null is empty."""
     column = column.cast(pa.large_string()).fill_null("")

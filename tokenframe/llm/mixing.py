@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import cut, numbered
+from .common import cut, numbered, ranked
 
 CYCLE, MOST = (5, 2, 1), 3
 DP_WORDS = 1 << 14
@@ -31,23 +31,24 @@ def word_count(text: Column) -> Column:
     return run(text)
 
 
-def targets(sizes: dict[str | None, int], cycle=CYCLE, most: int = MOST) -> dict[str | None, float]:
-    """Each source's words: weights cycle over the sources by code point, null last, and share all
-    words; a target stops at `most` times its source's size, and what it leaves is shared again."""
-    names = sorted((s for s in sizes if s is not None)) + [s for s in sizes if s is None]
-    weight = {s: cycle[i % len(cycle)] for i, s in enumerate(names)}
-    out: dict[str | None, float] = {}
-    rest, open_ = float(sum(sizes.values())), list(names)
-    while open_:
-        total = sum(weight[s] for s in open_)
-        over = [s for s in open_ if rest * weight[s] / total > most * sizes[s]]
-        if not over:
-            return out | {s: rest * weight[s] / total for s in open_}
-        for s in over:
-            out[s] = float(most * sizes[s])
-        open_ = [s for s in open_ if s not in over]
-        rest = float(sum(sizes.values())) - sum(out.values())
-    return out
+def targets(sizes: DataFrame, cycle=CYCLE, most: int = MOST) -> DataFrame:
+    """(source, words, target) from (source, words): weights cycle over the sources by code point, the
+    one named "" last, and share all words; a target stops at `most` times its source's size, and
+    what it leaves is shared again. Sources stay distributed: each round of sharing brings two sums to the driver.
+    """
+    own = ranked(sizes.withColumn("last", F.col("source") == ""), ["last", "source"], "place").drop("last")
+    own = own.withColumn("weight", F.get(F.array(*[F.lit(float(w)) for w in cycle]), (F.col("place") % len(cycle)).cast("int")))
+    own = cut(own.withColumn("cap", most * F.col("words").cast("double")))
+    total = float(own.agg(F.sum("words")).first()[0] or 0)
+    level = -1.0  # of words for each unit of weight: sources that it takes over their cap are closed
+    while True:
+        closed = F.col("weight") * level > F.col("cap")
+        t = own.agg(F.sum(F.when(closed, F.col("cap"))).alias("caps"), F.sum(F.when(~closed, F.col("weight"))).alias("open")).first()
+        now = (total - (t["caps"] or 0.0)) / t["open"] if t["open"] else level
+        if now <= level:
+            break
+        level = now
+    return own.select("source", "words", F.least(F.col("weight") * level, F.col("cap")).alias("target"))
 
 
 def knapsack(lengths: list[int], counts: list[int], budget: int) -> list[int]:
@@ -92,34 +93,30 @@ def copies(lengths: list[int], counts: list[int], budget: int, most: int) -> lis
     return take
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 11, buckets: int = 1024, max_sources: int = 1_000_000) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 11, buckets: int = 1024) -> DataFrame:
     """id_col, size, source_size, target, taken: the words that the mix takes from each document.
 
     taken is a whole multiple, 0 to 3, of size. A null source is a source of its own, the last; a
     null or empty text has size 0 and nothing to take; rows that repeat an id are documents of
-    their own. One total for each source comes to the driver; more than max_sources raise. A
-    length's documents are ranked inside hash buckets, whose counts place each bucket, so no
-    group of equal lengths is ordered in one task.
+    their own. A length's documents are ranked inside hash buckets, whose counts place each
+    bucket, so no group of equal lengths is ordered in one task; a source's distinct lengths are
+    fitted in one place.
     """
     key = F.when(F.col(source_col).isNull(), "").otherwise(F.concat(F.lit("="), F.col(source_col)))
     spot = F.xxhash64(F.lit(seed), F.col(id_col))
     own = cut(docs.select(F.col(id_col).alias("id"), key.alias("source"), word_count(F.col(text_col)).alias("size"), spot.alias("spot")))
     own = own.withColumn("bucket", F.pmod("spot", F.lit(buckets)))
     histogram = cut(own.groupBy("source", "size").agg(F.count("*").alias("n")))
-    rows = histogram.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("words")).limit(max_sources + 1).collect()
-    if len(rows) > max_sources:
-        raise ValueError(f"more than {max_sources} sources")
-    sizes = {r.source[1:] if r.source else None: r.words for r in rows}
-    aims = {"" if s is None else f"={s}": (sizes[s], t) for s, t in targets(sizes).items()}
+    aims = targets(histogram.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("words")))
 
     def fit(group: pd.DataFrame) -> pd.DataFrame:
-        words, aim = aims[group["source"].iloc[0]]
+        words, aim = int(group["words"].iloc[0]), float(group["target"].iloc[0])
         base = int(aim / words + 1e-9) if words else 0
-        group = group.sort_values("size")
+        group = group.drop(columns="words").sort_values("size")
         extra = copies(group["size"].tolist(), group["n"].tolist(), round(aim) - base * words, MOST - base)
-        return group.assign(base=base, extra=extra, source_size=words, target=float(aim))
+        return group.assign(base=base, extra=extra, source_size=words)
 
-    plan = histogram.groupBy("source").applyInPandas(fit, "source string, size long, n long, base long, extra long, source_size long, target double")
+    plan = histogram.join(aims, "source").groupBy("source").applyInPandas(fit, "source string, size long, n long, base long, extra long, source_size long, target double")
     seen = Window.partitionBy("source", "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     filled = own.groupBy("source", "size", "bucket").agg(F.count("*").alias("k")).withColumn("before", F.coalesce(F.sum("k").over(seen), F.lit(0)))
     places = filled.join(plan, ["source", "size"]).select("source", "size", "bucket", "before", (F.col("base") + F.floor(F.col("extra") / F.col("n"))).alias("base"), (F.col("extra") % F.col("n")).alias("extra"), "source_size", "target")

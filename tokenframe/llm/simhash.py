@@ -99,8 +99,9 @@ def links(distinct: DataFrame, bits: int = BITS) -> DataFrame:
     masks = [sum(0xFF << 8 * p for p in s) for s in sets]
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     keys = F.array(*[F.struct(F.lit(i).cast("byte").alias("positions"), F.col("fp").bitwiseAND(F.lit(m)).alias("octets")) for i, m in enumerate(signed)])
+    wide = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # small rows, but each becomes many
     lists = (
-        distinct.select("fp", F.explode(keys).alias("k"))
+        distinct.repartition(wide, "fp").select("fp", F.explode(keys).alias("k"))
         .groupBy("k.positions", "k.octets")
         .agg(F.collect_list("fp").alias("fps"))
         .where(F.size("fps") > 1)
