@@ -121,7 +121,10 @@ class Unigram:
         self.id_of = {t: i for i, (t, _) in enumerate(spec.vocab)}
         self.text_of = {i: t for i, (t, _) in enumerate(spec.vocab)}
         self.piece = {t: (i, s) for i, (t, s) in enumerate(spec.vocab) if t}
-        self.longest = max(map(len, self.piece), default=0)
+        self.sizes: dict[str, list[int]] = {}  # of the pieces that begin with two characters, and of one
+        for t in self.piece:
+            self.sizes.setdefault(t[:2], []).append(len(t))
+        self.sizes = {k: sorted(set(v)) for k, v in self.sizes.items()}
         self.unknown = min((s for _, s in spec.vocab), default=0.0) - PENALTY
         self.memo: dict[str, list[int]] = {}
 
@@ -134,8 +137,9 @@ class Unigram:
             here = best[i]
             if text[i] not in self.piece and here + self.unknown > best[i + 1]:
                 best[i + 1], back[i + 1] = here + self.unknown, (i, None)
-            for j in range(i + 1, min(n, i + self.longest) + 1):
-                found = self.piece.get(text[i:j])
+            for size in (*self.sizes.get(text[i], ()), *self.sizes.get(text[i : i + 2], ())) if i + 1 < n else self.sizes.get(text[i], ()):
+                j = i + size
+                found = self.piece.get(text[i:j]) if j <= n else None
                 if found is not None and here + found[1] > best[j]:
                     best[j], back[j] = here + found[1], (i, found[0])
         out, end = [], n

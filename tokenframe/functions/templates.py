@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+
 from ..errors import PostProcessorError
 
 
@@ -19,6 +21,25 @@ class Template:
             out += ids if p is None else p
         return out
 
+    def apply_all(self, offsets: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The template around each list of a flat batch."""
+        if self.is_identity:
+            return offsets, ids
+        size = np.diff(offsets)
+        ends = np.concatenate([[0], np.cumsum(size * sum(p is None for p in self.parts) + self.added)])
+        out = np.zeros(int(ends[-1]), np.int64)
+        at = ends[:-1].copy()
+        inside = np.arange(len(ids)) - np.repeat(offsets[:-1], size)
+        for p in self.parts:
+            if p is None:
+                out[np.repeat(at, size) + inside] = ids
+                at += size
+            else:
+                for x in p:
+                    out[at] = x
+                    at += 1
+        return ends, out
+
     @property
     def added(self) -> int:
         return len(self.apply([]))

@@ -9,12 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..errors import TokenizerError
 from ..sources.spec import TokenizerSpec
+from .batch import gather, list_array, rows_of
 from .tokenizer import Encoding, Tokenizer
 
 IDS = pa.list_(pa.int32())
@@ -38,12 +40,20 @@ def ids(text: Column, spec: TokenizerSpec, add_special_tokens: bool = True) -> C
 
     @F.arrow_udf("array<int>")
     def run(column: pa.Array) -> pa.Array:
-        t = tokenizer_of(doc)
-        return pa.array(_mapped(column, lambda x: t.ids(x, add_special_tokens)), IDS)
+        return ids_of(column, tokenizer_of(doc), add_special_tokens)
 
     return run(text)
 
 
+def ids_of(column: pa.Array, t: Tokenizer, add_special_tokens: bool = True) -> pa.Array:
+    """The ids of a batch of texts."""
+    offsets, found = t.content_lists(column.to_pylist())
+    null = np.asarray(column.is_null())
+    for template in t.templates if add_special_tokens else ():
+        offsets, found = template.apply_all(offsets, found)
+    return list_array(offsets, found, null)
+
+
 def ids_or_error(text: Column, spec: TokenizerSpec, add_special_tokens: bool = True) -> Column:
     """Struct (ids, error): one of them is null."""
     doc = spec.to_json()
@@ -131,8 +141,14 @@ def pieces_ids(pieces: Column, spec: TokenizerSpec) -> Column:
 
     @F.arrow_udf("array<int>")
     def run(column: pa.Array) -> pa.Array:
-        encode = tokenizer_of(doc).encode_raw
-        return pa.array(_mapped(column, lambda ps: [i for p in ps for i in encode(p)]), IDS)
+        ends, flat, null = rows_of(column)
+        words = flat.fill_null("").dictionary_encode()
+        slots = tokenizer_of(doc).raw_slots
+        own, found = slots.lists(words.dictionary.to_pylist(), np.arange(1, len(words.dictionary) + 1))
+        at = words.indices.to_numpy(zero_copy_only=False)
+        size = np.diff(own)[at] if len(at) else np.zeros(0, np.int64)
+        upto = np.concatenate([[0], np.cumsum(size)])
+        return list_array(np.concatenate([[0], upto[ends]]), gather(found, own[at], size), null)
 
     return run(pieces)
 
@@ -143,12 +159,21 @@ def decoded(values: Column, spec: TokenizerSpec, skip_special_tokens: bool = Fal
 
     @F.arrow_udf("string")
     def run(column: pa.Array) -> pa.Array:
-        t = tokenizer_of(doc)
-        return pa.array(_mapped(column, lambda x: t.decode(x, skip_special_tokens)), pa.string())
+        return texts_of(column, tokenizer_of(doc), skip_special_tokens)
 
     return run(values)
 
 
+def texts_of(column: pa.Array, t: Tokenizer, skip_special_tokens: bool = False) -> pa.Array:
+    """The decoded texts of a batch of id lists."""
+    table = t.byte_table(skip_special_tokens)
+    if table is None:
+        return pa.array(_mapped(column, lambda x: t.decode(x, skip_special_tokens)), pa.string())
+    ends, flat, null = rows_of(column)
+    said = table.texts(ends, flat.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64))
+    return pa.array(said, pa.string(), mask=null)
+
+
 def decoded_tokens(values: Column, spec: TokenizerSpec) -> Column:
     """The decoder chain over token strings."""
     doc = spec.to_json()

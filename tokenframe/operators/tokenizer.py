@@ -5,17 +5,22 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 
+import numpy as np
 import regex
 
 from ..errors import UnsupportedError
 from ..functions.added import AddedTokens
-from ..functions.decoders import compile_decoder
+from ..functions.decoders import bytes_of, compile_decoder
 from ..functions.models import Bpe, Unigram
 from ..functions.normalizers import compile_normalizer
 from ..functions.grammars import EXHAUSTIVE, GRAMMARS, for_python, name_of
 from ..functions.pretokenizers import byte_chars, compile_pre_tokenizer, ends_in_bytes
 from ..functions.templates import compile_templates
 from ..sources.spec import TokenizerSpec, Truncation, check_truncation
+from .batch import ByteTable, Slots
+
+
+LARGEST_TABLE = 1 << 22  # of ids, for tables that have a place for each
 
 
 @dataclass
@@ -81,9 +86,11 @@ class Tokenizer:
         self.model = Bpe(spec.model, ends_in_bytes(spec.pre_tokenizer)) if spec.model.kind == "BPE" else Unigram(spec.model)
         self.raw_bytes = ends_in_bytes(spec.pre_tokenizer)
         self.find_raw = _raw_words(spec.pre_tokenizer)
-        self.raw_memo: dict[str, list[int]] = {}
+        self.slots = Slots(self.encode_raw if self.find_raw is not None else self.model.encode)
+        self.raw_slots = Slots(self.encode_raw)
         self.templates = compile_templates(spec.post_processor)
         self.decode_chain = compile_decoder(spec.decoder)
+        self.byte_tables: dict[bool, ByteTable] = {}
 
     def segments(self, text: str) -> list[tuple[str, int | None]]:
         """Normalized segments of text, in order, and the added tokens between them."""
@@ -100,37 +107,32 @@ class Tokenizer:
 
     def encode_raw(self, piece: str) -> list[int]:
         """Ids of a piece of text before its bytes are spelled as characters."""
-        if (got := self.raw_memo.get(piece)) is None:
-            got = self.model.encode(byte_chars(piece) if self.raw_bytes else piece)
-            if len(piece) <= 64:
-                if len(self.raw_memo) >= 1 << 18:
-                    self.raw_memo.clear()
-                self.raw_memo[piece] = got
-        return got
-
-    def _content_raw(self, text: str) -> list[int]:
-        """`content` where one exhaustive grammar splits each segment and bytes are spelled last: a
-        piece seen before costs one lookup."""
-        find, memo, out = self.find_raw, self.raw_memo, []
-        for part, i in self.segments(text) if self.added.tokens or self.spec.normalizer else [(text, None)] if text else []:
-            if i is not None:
-                out.append(i)
-                continue
-            for piece in find(part):
-                out += memo[piece] if piece in memo else self.encode_raw(piece)
+        return self.model.encode(byte_chars(piece) if self.raw_bytes else piece)
+
+    def _keys(self, text: str) -> list[str | tuple[int]]:
+        """The pieces of text as the slots name them: added tokens by their id alone. Where one
+        exhaustive grammar splits each segment and bytes are spelled last, pieces stay unspelled."""
+        if self.find_raw is None:
+            return [p if i is None else (i,) for p, i in self.pieces(text)]
+        if not self.added.tokens and not self.spec.normalizer:
+            return self.find_raw(text)
+        out: list[str | tuple[int]] = []
+        for part, i in self.segments(text):
+            out += self.find_raw(part) if i is None else [(i,)]
         return out
 
+    def content_lists(self, texts: Iterable[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(offsets, ids) of the contents of several texts; null has none."""
+        keys: list[str | tuple[int]] = []
+        ends = []
+        for t in texts:
+            if t:
+                keys += self._keys(t)
+            ends.append(len(keys))
+        return self.slots.lists(keys, np.array(ends, np.int64))
+
     def content(self, text: str) -> list[int]:
-        if self.find_raw is not None:
-            return self._content_raw(text)
-        encode = self.model.encode
-        out: list[int] = []
-        for piece, i in self.pieces(text):
-            if i is None:
-                out += encode(piece)
-            else:
-                out.append(i)
-        return out
+        return self.content_lists([text])[1].tolist()
 
     def post_process(self, ids: list[int], add_special_tokens: bool = True) -> list[int]:
         for t in self.templates if add_special_tokens else ():
@@ -202,6 +204,15 @@ class Tokenizer:
     def decode_tokens(self, tokens: list[str]) -> str:
         return "".join(self.decode_chain(tokens))
 
+    def byte_table(self, skip_special_tokens: bool = False) -> ByteTable | None:
+        """Where the decoder is byte level alone: the bytes of each id."""
+        if not self.spec.decoder or self.spec.decoder["type"] != "ByteLevel" or max(self.added.text_of, default=0) > LARGEST_TABLE:
+            return None
+        if skip_special_tokens not in self.byte_tables:
+            spelled = {i: bytes_of(t) for i, t in (self.model.text_of | self.added.text_of).items() if not (skip_special_tokens and i in self.added.special)}
+            self.byte_tables[skip_special_tokens] = ByteTable(spelled)
+        return self.byte_tables[skip_special_tokens]
+
     def decode(self, ids: Iterable[int], skip_special_tokens: bool = False) -> str:
         """Ids that nothing has are left out."""
         kept = (i for i in ids if not (skip_special_tokens and i in self.added.special))

@@ -19,6 +19,7 @@ from ..operators import arrow
 from ..operators.tokenizer import Tokenizer
 from ..sources.spec import TokenizerSpec
 from .offsets import running_offsets
+from .storage import stored
 
 FOLD_LIMIT = 500  # merges that one expression folds over
 
@@ -71,7 +72,9 @@ class Engine:
         return lambda text: F.when(text == "", F.array().cast("array<string>")).otherwise(C.let(normalize(text), split))
 
     def content(self, text: Column) -> Column:
-        return arrow.ids(text, self.spec, False)
+        """array<int>: pieces that Catalyst splits go to the model as they are."""
+        native = self._native_pieces()
+        return arrow.ids(text, self.spec, False) if native is None else arrow.pieces_ids(native(text), self.spec)
 
     def ids(self, text: Column, add_special_tokens: bool = True) -> Column:
         """array<int>: ids of the whole text, without truncation or padding."""
@@ -102,29 +105,31 @@ class Engine:
 
     def encode_batch(self, df: DataFrame, text_col: str = "text", batch_col: str | None = None, out: str = "encoding", add_special_tokens: bool = True) -> DataFrame:
         """df with an encoding for each row. Where padding goes to the longest row, that is the longest
-        of the rows with the same batch_col; the longest lengths are found by a combined aggregate
-        and joined back, so a batch may be of any size."""
+        of the rows with the same batch_col; the encodings are stored, the longest lengths are found by
+        a combined aggregate and joined back, so a batch may be of any size."""
         p = self.spec.padding
         if p is None or p.length is not None or batch_col is None:
             return df.withColumn(out, self.encode(F.col(text_col), add_special_tokens))
-        own = df.withColumn(out, self.encode(F.col(text_col), add_special_tokens, pad=False))
-        longest = own.groupBy(F.col(batch_col).alias("_batch")).agg(F.max(F.size(F.col(out).ids)).alias("_longest"))
-        own = own.join(longest, F.col(batch_col).eqNullSafe(F.col("_batch")))
-        target = C.pad_target(F.size(F.col(out).ids), F.col("_longest"), p.pad_to_multiple_of)
+        own = stored(df.withColumn(out, self.encode(F.col(text_col), add_special_tokens, pad=False)))
+        longest = own.groupBy(F.col(batch_col).alias("__batch")).agg(F.max(F.size(F.col(out).ids)).alias("__longest"))
+        own = own.join(longest, F.col(batch_col).eqNullSafe(F.col("__batch")))
+        target = C.pad_target(F.size(F.col(out).ids), F.col("__longest"), p.pad_to_multiple_of)
         padded = F.when(F.col(out).isNotNull(), C.pad_encoding(F.col(out), target, p.direction, p.pad_id, p.pad_type_id))
-        return own.withColumn(out, padded).drop("_batch", "_longest")
+        return own.withColumn(out, padded).drop("__batch", "__longest")
 
     def ragged(self, df: DataFrame, key_col: str, text_col: str = "text", add_special_tokens: bool = True) -> DataFrame:
         """key, pos, token_id: a row for each id, in the long form of a ragged batch."""
         return df.select(key_col, F.posexplode(self.ids(F.col(text_col), add_special_tokens)).alias("pos", "token_id"))
 
     def flat(self, df: DataFrame, key_col: str, text_col: str = "text", add_special_tokens: bool = True) -> DataFrame:
-        """key, ids, start, end: where each row's ids lie in the concatenation in the order of key.
-        Truncation applies, padding doesn't."""
+        """key, ids, start, end: where each row's ids lie in the concatenation in the order of key, which may
+        be of any type that orders and have any name but these three. Truncation applies, padding doesn't."""
+        if key_col in ("ids", "start", "end"):
+            raise ValueError(f"the key can't be named {key_col}: the result has a column of that name")
         t = self.spec.truncation
         ids = self.ids(F.col(text_col), add_special_tokens) if t is None else arrow.encodings(F.col(text_col), self.spec, add_special_tokens, False)["ids"]
-        own = df.select(F.col(key_col), ids.alias("ids")).withColumn("n", F.size("ids").cast("long"))
-        return running_offsets(own, key_col, "n").drop("n")
+        own = df.select(F.col(key_col), ids.alias("ids")).withColumn("__n", F.size("ids").cast("long"))
+        return running_offsets(own, key_col, "__n").drop("__n")
 
     def vocab(self, spark: SparkSession, with_added_tokens: bool = True) -> DataFrame:
         """token, id."""
@@ -151,11 +156,11 @@ class Engine:
 
         @F.arrow_udf("array<int>")
         def encode(column):
-            return arrow.pa.array([None if x is None else arrow.tokenizer_of(doc).ids(x) for x in column.to_pylist()], arrow.IDS)
+            return arrow.ids_of(column, arrow.tokenizer_of(doc))
 
         @F.arrow_udf("string")
         def decode(column):
-            return arrow.pa.array([None if x is None else arrow.tokenizer_of(doc).decode(x) for x in column.to_pylist()], arrow.pa.string())
+            return arrow.texts_of(column, arrow.tokenizer_of(doc))
 
         @F.udtf(returnType="pos int, token_id int, token string")
         class Tokens:

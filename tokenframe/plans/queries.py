@@ -21,6 +21,7 @@ from ..sources.spec import TokenizerSpec
 from ..streaming.decode import decode_stream, replay
 from . import relational
 from .engine import Engine
+from .storage import shared_folder, spread, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -38,7 +39,7 @@ def query(sql: str | None = None, name: str | None = None):
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source", "lang")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source", "lang"), "doc_id")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -482,7 +483,7 @@ _DECODED = f"SELECT conv_id, md5(string_agg(text, '' ORDER BY turn)) AS digest F
 
 def _steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(bpe().ids(F.col("text"))).alias("pos", "token_id"))
-    return rows.select(F.col("conv_id").alias("stream_id"), (F.col("turn") * F.lit(1 << 20) + F.col("pos")).alias("seq"), "token_id")
+    return rows.select(F.col("conv_id").alias("stream_id"), (F.col("turn") * F.lit(1 << 32) + F.col("pos")).alias("seq"), "token_id")
 
 
 def _joined(emitted: DataFrame) -> DataFrame:
@@ -496,7 +497,7 @@ query(_DECODED, "stream_decode_replay")(lambda spark, d: _joined(replay(_steps(s
 @query(_DECODED)
 def stream_decode_live(spark, sf_dir):
     """The steps as a file stream, decoded with state in the state store, until all are taken."""
-    top = f"{_shared(spark)}/stream-{uuid.uuid4().hex}"
+    top = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     steps = _steps(spark, sf_dir)
     steps.write.parquet(f"{top}/in")
     live = decode_stream(corpus.stream(spark, f"{top}/in", steps.schema.simpleString()[7:-1].replace(":", " ").replace(",", ", ")), samples.byte_bpe())
@@ -505,12 +506,6 @@ def stream_decode_live(spark, sf_dir):
     return _joined(spark.read.parquet(f"{top}/out"))
 
 
-def _shared(spark: SparkSession) -> str:
-    import tempfile
-
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
-
-
 # around tokenization
 
 query("SELECT char, CAST(count(*) AS BIGINT) AS n FROM (SELECT unnest(regexp_extract_all(text, '(?s).')) AS char FROM documents) WHERE NOT regexp_matches(char, '^[a-z ]$') GROUP BY char", "oov_chars_anti_join")(lambda spark, d: relational.unknown_characters(docs(spark, d), Engine(samples.char_bpe()).vocab(spark).withColumn("token", F.replace("token", F.lit("▁"), F.lit(" ")))))
