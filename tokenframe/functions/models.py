@@ -5,11 +5,14 @@ from __future__ import annotations
 import heapq
 import re
 
+import numpy as np
+
 from ..errors import ModelError
 from ..sources.spec import BpeModel, UnigramModel
 
 HEX = re.compile(r"(?:<0x[0-9A-Fa-f]{2}>)+\Z")
 PENALTY = 10.0
+NEVER = (1 << 31) - 1  # the rank of what isn't a merge
 
 
 class Bpe:
@@ -24,6 +27,7 @@ class Bpe:
             self.rank[self.id_of[a], self.id_of[b]] = (r, self.id_of[a + b])
         self.bridges = None if spec.ignore_merges or raw_bytes else self._bridges()
         self.memo: dict[str, list[int]] = {}
+        self._tables()
 
     def bytes_of(self, token: str) -> bytes:
         return bytes.fromhex(token.replace("<0x", "").replace(">", "")) if HEX.match(token) else token.encode()
@@ -73,6 +77,75 @@ class Bpe:
                 heapq.heappush(heap, (x[0], k, x[1], merged))
         return [x for x, a in zip(ids, alive, strict=True) if a]
 
+    def _tables(self) -> None:
+        """Ids of single characters by code point, and ranks and results of pairs, as sorted arrays."""
+        single = sorted((ord(t), i) for t, i in self.id_of.items() if len(t) == 1)
+        self.code, self.code_id = (np.array(x, np.int64) for x in zip(*single, strict=True)) if single else (np.zeros(0, np.int64),) * 2
+        pairs = sorted((a << 32 | b, r, into) for (a, b), (r, into) in self.rank.items())
+        self.pair, self.pair_rank, self.pair_into = np.array(pairs or [(-1, NEVER, 0)], np.int64).T.copy()
+
+    def _ranked(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        key = left << 32 | right
+        at = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
+        return np.where(self.pair[at] == key, self.pair_rank[at], NEVER), self.pair_into[at]
+
+    def merge_many(self, ids: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Merge the symbols of many pieces side by side, one merge of each piece a step; own: the
+        piece of each symbol, ascending. Gives what is left, and its pieces, ascending."""
+        ids, rank, into = ids.copy(), np.full(len(ids), NEVER), np.zeros(len(ids), np.int64)
+        i = np.flatnonzero(own[1:] == own[:-1])
+        rank[i], into[i] = self._ranked(ids[i], ids[i + 1])
+        ended = []
+        while len(ids):
+            first = np.flatnonzero(np.diff(own, prepend=-1))
+            best = np.minimum.reduceat(rank << 32 | np.arange(len(rank)), first)
+            over = best >> 32 >= NEVER
+            best &= 0xFFFFFFFF
+            if over.any():  # nothing is left to merge in these
+                gone = np.repeat(over, np.diff(first, append=len(own)))
+                ended.append((own[gone], ids[gone]))
+                best = (np.cumsum(~gone) - 1)[best[~over]]
+                own, ids, rank, into = own[~gone], ids[~gone], rank[~gone], into[~gone]
+            if not len(best):
+                break
+            ids[best] = into[best]
+            rank[best] = NEVER
+            stays = np.ones(len(own), bool)
+            stays[best + 1] = False
+            own, ids, rank, into = own[stays], ids[stays], rank[stays], into[stays]
+            best -= np.arange(len(best))  # each piece before has lost a symbol
+            for i in (best[best > 0] - 1, best[best < len(own) - 1]):
+                apart = i[own[i] != own[i + 1]]
+                i = i[own[i] == own[i + 1]]
+                rank[apart] = NEVER
+                rank[i], into[i] = self._ranked(ids[i], ids[i + 1])
+        if not ended:
+            return ids, own
+        own, ids = (np.concatenate(x) for x in zip(*ended, strict=True))
+        order = np.argsort(own, kind="stable")
+        return ids[order], own[order]
+
+    def encode_many(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all pieces one after another, how many each has). Short pieces whose characters
+        are all tokens are merged together; the others, and what the model rejects, one by one."""
+        codes = np.frombuffer("".join(pieces).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        at = np.minimum(np.searchsorted(self.code, codes), max(len(self.code) - 1, 0))
+        known = self.code[at] == codes if len(self.code) else np.zeros(len(codes), bool)
+        own = np.repeat(np.arange(len(pieces)), size)
+        plain = (np.bincount(own[~known], minlength=len(pieces)) == 0) & (size <= 64)
+        if self.spec.ignore_merges:
+            plain &= ~np.fromiter(map(self.id_of.__contains__, pieces), bool, len(pieces))
+        inside = plain[own]
+        ids, own = self.merge_many(self.code_id[at[inside]], own[inside]) if inside.any() else (np.zeros(0, np.int64), own[:0])
+        rest = {i: self.encode(pieces[i]) for i in np.flatnonzero(~plain).tolist()}
+        if rest:
+            own = np.concatenate([own, np.repeat(np.fromiter(rest, np.int64), [len(x) for x in rest.values()])])
+            ids = np.concatenate([ids, np.array([i for x in rest.values() for i in x], np.int64)])
+            order = np.argsort(own, kind="stable")
+            ids, own = ids[order], own[order]
+        return ids, np.bincount(own, minlength=len(pieces))
+
     def pieces(self, piece: str) -> list[str]:
         """piece, cut where no token bridges two characters."""
         if self.bridges is None or len(piece) < 2:
@@ -160,6 +233,11 @@ class Unigram:
             raise ModelError(f"{text!r} needs an unknown token, and the model has none")
         return [self.spec.unk_id]
 
+    def encode_many(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all pieces one after another, how many each has)."""
+        lists = list(map(self.encode, pieces))
+        return np.array([i for x in lists for i in x], np.int64), np.fromiter(map(len, lists), np.int64, len(lists))
+
     def encode(self, piece: str) -> list[int]:
         if (got := self.memo.get(piece)) is not None:
             return got

@@ -23,31 +23,35 @@ def gather(values: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarra
     return values[np.repeat(first - (ends - size), size) + np.arange(total)]
 
 
-class Slots(dict):
-    """piece -> slot; a piece that is missing is encoded. Ids that stand for themselves are 1-tuples."""
+class Slots:
+    """The ids of pieces, by piece. Ids that stand for themselves are 1-tuples."""
 
-    def __init__(self, encode: Callable[[str], list[int]]):
-        super().__init__()
-        self.encode = encode
+    def __init__(self, encode_many: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]):
+        self.encode_many = encode_many
         self.forget()
 
     def forget(self) -> None:
-        self.clear()
+        self.slot: dict[str | tuple[int], int] = {}
         self.first, self.size, self.values = array("q"), array("q"), array("q")
 
-    def __missing__(self, piece: str | tuple[int]) -> int:
-        ids = piece if isinstance(piece, tuple) else self.encode(piece)
-        slot = self[piece] = len(self.first)
-        self.first.append(len(self.values))
-        self.size.append(len(ids))
-        self.values.extend(ids)
-        return slot
+    def _add(self, pieces: list, ids: np.ndarray, size: np.ndarray) -> None:
+        self.slot.update(zip(pieces, range(len(self.first), len(self.first) + len(pieces)), strict=True))
+        self.first.frombytes((len(self.values) + np.cumsum(size) - size).astype(np.int64).tobytes())
+        self.size.frombytes(size.astype(np.int64).tobytes())
+        self.values.frombytes(ids.astype(np.int64).tobytes())
 
     def lists(self, pieces: list, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(offsets, ids) of rows whose pieces end at `ends`."""
-        if len(self) > MOST_SLOTS or len(self.values) > MOST_IDS:
+        if len(self.slot) > MOST_SLOTS or len(self.values) > MOST_IDS:
             self.forget()
-        slots = np.fromiter(map(self.__getitem__, pieces), np.int64, len(pieces))
+        new = list(set(pieces).difference(self.slot))
+        single = [x for x in new if isinstance(x, tuple)]
+        if single:
+            new = [x for x in new if isinstance(x, str)]
+            self._add(single, np.array([i for i, in single]), np.ones(len(single), np.int64))
+        if new:
+            self._add(new, *self.encode_many(new))
+        slots = np.fromiter(map(self.slot.__getitem__, pieces), np.int64, len(pieces))
         first, size, values = (np.frombuffer(x, np.int64) if len(x) else np.zeros(0, np.int64) for x in (self.first, self.size, self.values))
         size = size[slots]
         ids = gather(values, first[slots], size)

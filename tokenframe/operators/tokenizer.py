@@ -86,7 +86,7 @@ class Tokenizer:
         self.model = Bpe(spec.model, ends_in_bytes(spec.pre_tokenizer)) if spec.model.kind == "BPE" else Unigram(spec.model)
         self.raw_bytes = ends_in_bytes(spec.pre_tokenizer)
         self.find_raw = _raw_words(spec.pre_tokenizer)
-        self.slots = Slots(self.encode_raw if self.find_raw is not None else self.model.encode)
+        self.slots = Slots(self.encode_raw if self.find_raw is not None else self.model.encode_many)
         self.raw_slots = Slots(self.encode_raw)
         self.templates = compile_templates(spec.post_processor)
         self.decode_chain = compile_decoder(spec.decoder)
@@ -105,9 +105,9 @@ class Tokenizer:
         """The pieces that the model encodes, and the added tokens between them."""
         return [x for part, i in self.segments(text) for x in ([(part, i)] if i is not None else [(p, None) for p in self.pre_tokenize(part) if p])]
 
-    def encode_raw(self, piece: str) -> list[int]:
-        """Ids of a piece of text before its bytes are spelled as characters."""
-        return self.model.encode(byte_chars(piece) if self.raw_bytes else piece)
+    def encode_raw(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces of text before their bytes are spelled as characters."""
+        return self.model.encode_many([byte_chars(p) for p in pieces] if self.raw_bytes else pieces)
 
     def _keys(self, text: str) -> list[str | tuple[int]]:
         """The pieces of text as the slots name them: added tokens by their id alone. Where one
