@@ -77,6 +77,14 @@ def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return cut(ranged.select(F.monotonically_increasing_id().alias("id"), "rest", "text"))
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """name, with as many underscores before it as make it differ from all columns of docs."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def ranked(df: DataFrame, by: list[str], out: str) -> DataFrame:
     """df with a long column `out`: the place of each row, from 0, in the order of the columns `by`,
     found by a range partitioning; one count for each partition is broadcast."""
