@@ -177,6 +177,14 @@ class Bpe:
                 self.memo[piece] = got
         return got
 
+    def validate(self, piece: str) -> None:
+        """Raise what encoding the piece would raise."""
+        if piece in self.id_of and (self.spec.ignore_merges or not self.spec.byte_fallback):
+            return
+        for part in self.pieces(piece):
+            if part not in self.id_of or self.spec.byte_fallback:
+                self.symbols(part)
+
     def compatible(self, first: int, second: int) -> bool:
         """Whether two tokens can stand side by side in this model's output."""
         a, b = self.text_of.get(first), self.text_of.get(second)
@@ -233,6 +241,11 @@ class Unigram:
             raise ModelError(f"{text!r} needs an unknown token, and the model has none")
         return [self.spec.unk_id]
 
+    def validate(self, piece: str) -> None:
+        """Raise what encoding the piece would raise: only an unknown character can."""
+        if self.spec.unk_id is None and any(c not in self.piece for c in piece):
+            self.encode(piece)
+
     def encode_many(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all pieces one after another, how many each has)."""
         lists = list(map(self.encode, pieces))

@@ -74,6 +74,24 @@ def ids_or_error(text: Column, spec: TokenizerSpec, add_special_tokens: bool = T
     return run(text)
 
 
+def rejections(text: Column, spec: TokenizerSpec) -> Column:
+    """The message of what the model rejects in each text, or null."""
+    doc = spec.to_json()
+
+    @F.arrow_udf("string")
+    def run(column: pa.Array) -> pa.Array:
+        t = tokenizer_of(doc)
+        said = []
+        for x in column.to_pylist():
+            try:
+                said.append(None if x is None else t.validate(x))
+            except TokenizerError as e:
+                said.append(str(e))
+        return pa.array(said, pa.string())
+
+    return run(text)
+
+
 def limited(text: Column, spec: TokenizerSpec, most: int, direction: str = "right") -> Column:
     """Struct (ids, truncated) of at most `most` ids of the content; all of the text is validated."""
     doc = spec.to_json()

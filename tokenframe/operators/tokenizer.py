@@ -20,6 +20,9 @@ from ..sources.spec import TokenizerSpec, Truncation, check_truncation
 from .batch import ByteTable, Slots
 
 
+# Members of an encoding that can be set but not read, and that can't be read at all.
+SETTABLE = frozenset(["sequence_ids", "word_ids", "words"])
+ABSENT = SETTABLE | {"tokens", "offsets", "char_to_token", "char_to_word", "token_to_chars", "token_to_sequence", "token_to_word", "word_to_chars", "word_to_tokens"}
 LARGEST_TABLE = 1 << 22  # of ids, for tables that have a place for each
 
 
@@ -42,6 +45,31 @@ class Encoding:
     def __len__(self) -> int:
         return len(self.ids)
 
+    @property
+    def num_tokens(self) -> int:
+        return len(self.ids)
+
+    def __repr__(self) -> str:
+        return f"Encoding(num_tokens={len(self)}, n_sequences={self.n_sequences}, truncated={self.truncated})"
+
+    def set_sequence_id(self, sequence_id: int) -> None:
+        self._given["sequence_id"] = sequence_id
+
+    def __setattr__(self, name: str, value: object) -> None:
+        if name in SETTABLE:
+            self._given[name] = value
+        else:
+            object.__setattr__(self, name, value)
+
+    def __getattr__(self, name: str):
+        """What maps ids to places in the text isn't kept, so that asking for it is an error."""
+        if name == "_given":
+            object.__setattr__(self, "_given", {})
+            return self._given
+        if name in ABSENT:
+            raise UnsupportedError(f"{name} of an encoding")
+        raise AttributeError(name)
+
     def _lists(self) -> tuple[str, ...]:
         return "ids", "attention_mask", "type_ids", "special_tokens_mask"
 
@@ -109,6 +137,12 @@ class Tokenizer:
         """Ids of pieces of text before their bytes are spelled as characters."""
         return self.model.encode_many([byte_chars(p) for p in pieces] if self.raw_bytes else pieces)
 
+    def validate(self, text: str) -> None:
+        """Raise what encoding text would raise, without merging."""
+        for piece, i in self.pieces(text):
+            if i is None:
+                self.model.validate(piece)
+
     def _keys(self, text: str) -> list[str | tuple[int]]:
         """The pieces of text as the slots name them: added tokens by their id alone. Where one
         exhaustive grammar splits each segment and bytes are spelled last, pieces stay unspelled."""

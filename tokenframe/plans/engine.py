@@ -6,6 +6,10 @@ and an Arrow UDF elsewhere; `Engine.plan()` tells which. Only texts and id lists
 
 from __future__ import annotations
 
+import json
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +21,7 @@ from ..functions.pretokenizers import metaspace_options
 from ..functions.templates import compile_templates
 from ..operators import arrow
 from ..operators.tokenizer import Tokenizer
+from ..sources import snapshot
 from ..sources.spec import TokenizerSpec
 from .offsets import running_offsets
 from .storage import stored
@@ -32,9 +37,16 @@ class Engine:
         self.tokenizer = Tokenizer(spec)  # checks all of the specification on the driver
 
     @classmethod
-    def from_file(cls, path: str) -> Engine:
+    def from_file(cls, path: str, cached: bool = False) -> Engine:
+        """Of a tokenizer.json, with `cached` by way of its snapshot; of a snapshot, always so."""
+        if cached or str(path).endswith(snapshot.SUFFIX):
+            return cls(snapshot.load_or_create(path))
         return cls(TokenizerSpec.from_file(path))
 
+    @classmethod
+    def from_buffer(cls, buffer: bytes) -> Engine:
+        return cls(TokenizerSpec.from_json(buffer))
+
     @classmethod
     def from_json(cls, text: str) -> Engine:
         return cls(TokenizerSpec.from_json(text))
@@ -89,6 +101,32 @@ class Engine:
             ids = ids if t.is_identity else F.when(ids.isNotNull(), C.template(ids, t.parts))
         return ids
 
+    def post_process_encoding(self, encoding: Column, add_special_tokens: bool = True) -> Column:
+        """The templates around an encoding; what describes its ids is made anew, and it stays
+        marked as truncated."""
+        own = F.struct(self.post_process(encoding["ids"], add_special_tokens).alias("ids"), encoding["truncated"].alias("truncated"))
+        every = lambda e, x: F.transform(e["ids"], lambda _: F.lit(x))
+        made = C.let(own, lambda e: F.struct(
+            e["ids"].alias("ids"), every(e, 1).alias("attention_mask"), every(e, 0).alias("type_ids"), every(e, 0).alias("special_tokens_mask"),
+            F.lit(1).alias("n_sequences"), e["truncated"].alias("truncated"),
+        ))
+        return F.when(encoding.isNotNull(), made)
+
+    def rejected(self, text: Column) -> Column:
+        """Why the model rejects a text, or null; nothing is merged."""
+        return arrow.rejections(text, self.spec)
+
+    def has_candidate(self, text: Column) -> Column:
+        """Whether a text may hold an added token, for a filter before the segmentation. Tokens that are
+        looked for in normalized text may be in any."""
+        if any(t.normalized for t in self.spec.added_tokens):
+            return F.lit(True)
+        return reduce(or_, [F.contains(text, F.lit(t.content)) for t in self.spec.added_tokens if t.content], F.lit(False))
+
+    def is_special(self, token_id: Column) -> Column:
+        """Whether an id is that of a special added token."""
+        return token_id.isin(sorted(self.tokenizer.added.special))
+
     def with_limit(self, text: Column, most: int, direction: str = "right") -> Column:
         return arrow.limited(text, self.spec, most, direction)
 
@@ -140,6 +178,18 @@ class Engine:
         rows = [(r, a, b) for r, (a, b) in enumerate(getattr(self.spec.model, "merges", ()))]
         return spark.createDataFrame(rows, "rank int, left string, right string")
 
+    def save_vocabulary(self, spark: SparkSession, folder: str, prefix: str | None = None) -> str:
+        """Write the vocabulary as <prefix>-vocab.json, through the file system that the folder names."""
+        path = f"{folder}/{prefix + '-' if prefix else ''}vocab.json"
+        jvm = spark._jvm
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+        try:
+            out.write(json.dumps(self.tokenizer.vocab(), ensure_ascii=False).encode())
+        finally:
+            out.close()
+        return path
+
     def added_tokens(self, spark: SparkSession) -> DataFrame:
         rows = [(t.id, t.content, t.single_word, t.lstrip, t.rstrip, t.normalized, t.special) for t in self.spec.added_tokens]
         return spark.createDataFrame(rows, "id int, content string, single_word boolean, lstrip boolean, rstrip boolean, normalized boolean, special boolean")
@@ -150,8 +200,8 @@ class Engine:
         return spark.createDataFrame(rows, "before int, after int")
 
     def register(self, spark: SparkSession, prefix: str = "tf") -> None:
-        """SQL functions <prefix>_encode(text), <prefix>_decode(ids) and the table function
-        <prefix>_tokens(text) -> (pos, token_id, token)."""
+        """SQL functions <prefix>_encode(text), <prefix>_decode(ids), <prefix>_token(id), and the table function
+        <prefix>_tokens(text) -> (pos, token_id, token), which is SQL over them: texts pass in batches."""
         doc = self.spec.to_json()
 
         @F.arrow_udf("array<int>")
@@ -162,16 +212,17 @@ class Engine:
         def decode(column):
             return arrow.texts_of(column, arrow.tokenizer_of(doc))
 
-        @F.udtf(returnType="pos int, token_id int, token string")
-        class Tokens:
-            def eval(self, text: str):
-                t = arrow.tokenizer_of(doc)
-                for pos, i in enumerate(t.ids(text) if text is not None else ()):
-                    yield pos, i, t.id_to_token(i)
+        @F.arrow_udf("string")
+        def token(column):
+            return arrow.pa.array([None if i is None else arrow.tokenizer_of(doc).id_to_token(i) for i in column.to_pylist()], arrow.pa.string())
 
         spark.udf.register(f"{prefix}_encode", encode)
         spark.udf.register(f"{prefix}_decode", decode)
-        spark.udtf.register(f"{prefix}_tokens", Tokens)
+        spark.udf.register(f"{prefix}_token", token)
+        spark.sql(
+            f"CREATE OR REPLACE TEMPORARY FUNCTION {prefix}_tokens(content STRING) RETURNS TABLE (pos INT, token_id INT, token STRING) "
+            f"RETURN SELECT p, i, {prefix}_token(i) FROM posexplode({prefix}_encode(content)) AS ids(p, i)"
+        )
 
     def plan(self) -> dict[str, str]:
         """The engine of each stage: catalyst or arrow."""

@@ -151,13 +151,6 @@ query(sql_digest(f"list_transform({GPT2}, lambda p: hex(encode(p)))"), "byte_lev
 query(f"SELECT piece, CAST(count(*) AS BIGINT) AS n FROM (SELECT unnest({GPT2}) AS piece FROM documents) GROUP BY piece ORDER BY n DESC, piece LIMIT 100", "gpt2_piece_topk")(lambda spark, d: relational.top_pieces(docs(spark, d), C.grammar(F.col("text"), "gpt2"), 100))
 
 
-@query(sql_digest(f"list_transform({GPT2.replace('(text', '(t')}, lambda p: translate(p, ' ' || chr(10), 'ĠĊ'))", "(SELECT doc_id, CASE WHEN starts_with(text, ' ') THEN text ELSE ' ' || text END AS t FROM documents WHERE NOT regexp_matches(text, '[^\\x20-\\x7E\\n]') AND text <> '')"))
-def byte_level_prefix_space(spark, sf_dir):
-    """ASCII texts only, for which SQL can spell the bytes."""
-    own = docs(spark, sf_dir).where(F.col("text").rlike("^[\\x20-\\x7E\\n]+$"))
-    return _arrow_pieces(own, samples.byte_bpe(prefix=True))
-
-
 def _unspelled(piece: Column) -> Column:
     """The bytes, in hex, that a byte-level piece spells."""
     hexes = F.create_map(*[F.lit(x) for b, c in BYTE_CHAR.items() for x in (c, f"{b:02X}")])
@@ -313,21 +306,6 @@ def bpe_byte_fallback(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", F.size(Engine(samples.char_bpe()).ids(F.col("text"))).cast("long").alias("n"))
 
 
-@query(f"SELECT CAST(count(*) AS BIGINT) AS n FROM (SELECT DISTINCT b, lead FROM (SELECT substr(t, i, 1) AS b, substr(t, i + 1, 1) AS lead FROM (SELECT unnest([{', '.join(q(x) for x in samples.PAIRS)}]) AS t), (SELECT unnest(range(1, 2)) AS i)))")
-def bridge_pairs(spark, sf_dir):
-    letters = F.col("before").between(97, 122) & F.col("after").between(97, 122)
-    return Engine(samples.char_bpe()).bridges(spark).where(letters).agg(F.count("*").alias("n"))
-
-
-@query()
-def compatible_pairs(spark, sf_dir):
-    """How often each pair of adjacent ids occurs in the encoded corpus, and whether it can: it always can."""
-    own = docs(spark, sf_dir).select(bpe().ids(F.col("text")).alias("ids"))
-    pairs = own.select(F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size("ids") - 1, F.lit(1))), lambda i: F.struct(F.get("ids", i - 1).alias("a"), F.get("ids", i).alias("b")))).alias("p"))
-    counted = pairs.where("p.b is not null").groupBy("p.a", "p.b").agg(F.count("*").alias("n"))
-    return counted.withColumn("can", arrow.compatible(F.col("a"), F.col("b"), samples.byte_bpe()))
-
-
 @query()
 def public_bpe_encode(spark, sf_dir):
     """A public byte-level tokenizer of 50,257 tokens; tests compare it with its own library."""
@@ -355,13 +333,12 @@ def _sql_unigram() -> str:
     r AS (SELECT w, 0 AS n, [CAST(0 AS DOUBLE)] AS sc, [''] AS path FROM (SELECT DISTINCT w FROM words)
       UNION ALL SELECT w, n + 1, list_append(sc, {best}), list_append(path, CASE {chosen} END) FROM r {joins} WHERE n < length(w)),
     done AS (SELECT w, string_split(rtrim(regexp_replace(path[n + 1], '(-1,)+', '0,', 'g'), ','), ',') AS ids FROM r WHERE n = length(w))
-    SELECT doc_id, CAST(sum(len(ids)) AS BIGINT) AS n, md5(string_agg(array_to_string(ids, ' '), ' ' ORDER BY pos)) AS digest FROM words JOIN done USING (w) GROUP BY doc_id"""
+    SELECT doc_id, CAST(coalesce(sum(len(ids)), 0) AS BIGINT) AS n, md5(coalesce(string_agg(array_to_string(ids, ' '), ' ' ORDER BY pos), '')) AS digest FROM documents LEFT JOIN (words JOIN done USING (w)) USING (doc_id) GROUP BY doc_id"""
 
 
 @query(_sql_unigram())
 def unigram_encode(spark, sf_dir):
-    own = docs(spark, sf_dir).where(F.col("text").rlike(r"\S"))
-    return digest(own, Engine(samples.unigram()).ids(F.col("text")), sep=" ")
+    return digest(docs(spark, sf_dir), Engine(samples.unigram()).ids(F.col("text")), sep=" ")
 
 
 @query("SELECT doc_id, CAST(len(regexp_extract_all(text, '[^a-z\\s]+')) AS BIGINT) AS n FROM documents")
@@ -402,36 +379,29 @@ _limit_query("right", 64)
 _limit_query("left", 64)
 
 PADDED = "SELECT doc_id, CAST(target AS BIGINT) AS n, md5({x}) AS digest, CAST(len(ids) AS BIGINT) AS attended FROM (SELECT *, {t} AS target FROM {e})"
-_RIGHT = f"array_to_string(ids, ' ') || repeat(' {PAD_ID}', CAST(target - len(ids) AS BIGINT))"
+_RIGHT = f"ltrim(array_to_string(ids, ' ') || repeat(' {PAD_ID}', CAST(target - len(ids) AS BIGINT)))"
 
 
 def _padded(df: DataFrame) -> DataFrame:
     return df.select("doc_id", F.size("encoding.ids").cast("long").alias("n"), F.md5(F.array_join("encoding.ids", " ").cast("binary")).alias("digest"), F.aggregate("encoding.attention_mask", F.lit(0).cast("long"), lambda t, x: t + x).alias("attended"))
 
 
-NONEMPTY = f"(SELECT * FROM {ENCODED} WHERE len(ids) > 0)"
-
-
-def _some(spark, d) -> DataFrame:
-    return docs(spark, d).where("text <> ''")
-
-
-query(PADDED.format(x=_RIGHT, t="greatest(256, len(ids))", e=NONEMPTY), "pad_fixed")(lambda spark, d: _padded(bpe(specials=True).with_padding(length=256, pad_id=PAD_ID).encode_batch(_some(spark, d))))
-query(PADDED.format(x=_RIGHT, t="CAST(ceil(len(ids) / 64.0) AS BIGINT) * 64", e=NONEMPTY), "pad_to_multiple")(lambda spark, d: _padded(bpe(specials=True).with_padding(pad_id=PAD_ID, pad_to_multiple_of=64).encode_batch(_some(spark, d))))
+query(PADDED.format(x=_RIGHT, t="greatest(256, len(ids))", e=ENCODED), "pad_fixed")(lambda spark, d: _padded(bpe(specials=True).with_padding(length=256, pad_id=PAD_ID).encode_batch(docs(spark, d))))
+query(PADDED.format(x=_RIGHT, t="CAST(ceil(len(ids) / 64.0) AS BIGINT) * 64", e=ENCODED), "pad_to_multiple")(lambda spark, d: _padded(bpe(specials=True).with_padding(pad_id=PAD_ID, pad_to_multiple_of=64).encode_batch(docs(spark, d))))
 query(
-    f"SELECT doc_id, CAST(target AS BIGINT) AS n, CAST(len(ids) AS BIGINT) AS attended, CAST(CASE WHEN target > len(ids) THEN {PAD_ID} ELSE ids[1] END AS BIGINT) AS first FROM (SELECT *, max(len(ids)) OVER (PARTITION BY source) AS target FROM {NONEMPTY})", "pad_batch_longest"
+    f"SELECT doc_id, CAST(target AS BIGINT) AS n, CAST(len(ids) AS BIGINT) AS attended, CAST(CASE WHEN target > len(ids) THEN {PAD_ID} ELSE ids[1] END AS BIGINT) AS first FROM (SELECT *, max(len(ids)) OVER (PARTITION BY source) AS target FROM {ENCODED})", "pad_batch_longest"
 )(lambda spark, d: _padded_left(spark, d))
 
 
 def _padded_left(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each source is a batch; 512 ids at most are kept of none: rows are as long as the longest."""
-    got = bpe(specials=True).with_padding(pad_id=PAD_ID, direction="left").encode_batch(_some(spark, sf_dir), batch_col="source")
+    got = bpe(specials=True).with_padding(pad_id=PAD_ID, direction="left").encode_batch(docs(spark, sf_dir), batch_col="source")
     return got.select("doc_id", F.size("encoding.ids").cast("long").alias("n"), F.aggregate("encoding.attention_mask", F.lit(0).cast("long"), lambda t, x: t + x).alias("attended"), F.get("encoding.ids", F.lit(0)).cast("long").alias("first"))
 
 
-@query(f"SELECT conv_id, CAST(sum(len(ids)) AS BIGINT) AS n, CAST(count(*) AS BIGINT) AS n_sequences, md5(string_agg(array_to_string(ids, ' '), ' ' ORDER BY turn)) AS digest FROM (SELECT conv_id, turn, {IDS} AS ids FROM conversations WHERE text <> '') GROUP BY conv_id")
+@query(f"SELECT conv_id, CAST(sum(len(ids)) AS BIGINT) AS n, CAST(count(*) AS BIGINT) AS n_sequences, md5(coalesce(string_agg(array_to_string(ids, ' '), ' ' ORDER BY turn) FILTER (WHERE len(ids) > 0), '')) AS digest FROM (SELECT conv_id, turn, {IDS} AS ids FROM conversations) GROUP BY conv_id")
 def encoding_merge(spark, sf_dir):
-    own = table(spark, sf_dir, "conversations").where("text <> ''").select("conv_id", "turn", bpe().ids(F.col("text")).alias("ids"))
+    own = table(spark, sf_dir, "conversations").select("conv_id", "turn", bpe().ids(F.col("text")).alias("ids"))
     return relational.merged(own, "conv_id", "turn").select("conv_id", F.size("ids").cast("long").alias("n"), "n_sequences", F.md5(F.array_join("ids", " ").cast("binary")).alias("digest"))
 
 
@@ -511,7 +481,6 @@ def stream_decode_live(spark, sf_dir):
 query("SELECT char, CAST(count(*) AS BIGINT) AS n FROM (SELECT unnest(regexp_extract_all(text, '(?s).')) AS char FROM documents) WHERE NOT regexp_matches(char, '^[a-z ]$') GROUP BY char", "oov_chars_anti_join")(lambda spark, d: relational.unknown_characters(docs(spark, d), Engine(samples.char_bpe()).vocab(spark).withColumn("token", F.replace("token", F.lit("▁"), F.lit(" ")))))
 query(f"SELECT source, lang, CAST(grouping(source) * 2 + grouping(lang) AS BIGINT) AS level, CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(len(ids)) AS BIGINT) AS n_tokens FROM (SELECT source, lang, {IDS} AS ids FROM documents) GROUP BY CUBE (source, lang)", "token_stats_cube")(lambda spark, d: relational.stats_cube(docs(spark, d).withColumn("n", F.size(bpe().ids(F.col("text"))).cast("long"))))
 query(f"SELECT source, token_id, n, CAST(rank AS BIGINT) AS rank FROM (SELECT source, token_id, n, row_number() OVER (PARTITION BY source ORDER BY n DESC, token_id) AS rank FROM (SELECT source, token_id, CAST(count(*) AS BIGINT) AS n FROM (SELECT source, unnest(ids) AS token_id FROM {ENCODED}) GROUP BY source, token_id)) WHERE rank <= 10", "token_rank_window")(lambda spark, d: relational.ranked(bpe().ragged(docs(spark, d).withColumn("key", F.struct("doc_id", "source")), "key").select("key.source", "token_id"), 10))
-query(None, "approx_distinct_pieces")(lambda spark, d: docs(spark, d).select("lang", F.explode(C.grammar(F.col("text"), "gpt2")).alias("piece")).groupBy("lang").agg(F.approx_count_distinct("piece", 0.01).alias("about")))
 query(f"SELECT doc_id, CAST((e - n) // 2048 AS BIGINT) AS first_context, CAST((e - 1) // 2048 AS BIGINT) AS last_context, CAST((e - n) % 2048 AS BIGINT) AS place FROM (SELECT doc_id, len(ids) AS n, sum(len(ids)) OVER (ORDER BY doc_id) AS e FROM {ENCODED}) WHERE n > 0", "context_packing")(lambda spark, d: relational.packed(bpe().flat(docs(spark, d), "doc_id"), 2048))
 query(
     "WITH g AS (SELECT item_id, unnest(list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i:i + 7], ' '))) AS gram FROM (SELECT item_id, regexp_extract_all(text, '\\S+') AS w FROM benchmark)), d AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i:i + 7], ' '))) AS gram FROM (SELECT doc_id, regexp_extract_all(text, '\\S+') AS w FROM documents)) SELECT doc_id, item_id, CAST(count(DISTINCT gram) AS BIGINT) AS shared FROM d JOIN g USING (gram) GROUP BY doc_id, item_id",
@@ -558,3 +527,6 @@ def sql_table_function(spark, sf_dir):
 def explain() -> str:
     """The stages of the sample tokenizers and the engine that each runs on."""
     return json.dumps({name: Engine(spec).plan() for name, spec in (("byte_bpe", samples.byte_bpe()), ("char_bpe", samples.char_bpe()), ("unigram", samples.unigram()))}, indent=1)
+
+
+from . import edge_queries  # noqa: E402, F401  registers more

@@ -1,8 +1,10 @@
 """Snapshots of compiled specifications, kept as Parquet beside their tokenizer.json.
 
 A snapshot is a folder: `vocab.parquet`, `merges.parquet`, `added.parquet` and `head.json` with the
-version, the rest of the document and the checksum of the tables. It is written under another name
-and renamed, so that a reader sees all of it or none. Whatever is wrong with one is a SnapshotError.
+version, the rest of the document and the checksum of the tables. The path itself is a link to the
+folder: a new folder is written and synced, and the link is replaced at once, so that a reader
+always sees a whole snapshot. Whatever is wrong with one is a SnapshotError, and so is a size over
+LARGEST bytes.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ import pyarrow.parquet as pq
 from ..errors import SnapshotError, TokenizerError
 from .spec import TokenizerSpec
 
+LARGEST = 512 << 20
 SUFFIX, MAGIC, VERSION = ".tfs", "tokenframe-snapshot", 1
 
 
@@ -68,17 +71,37 @@ def save(spec: TokenizerSpec, path: str | Path) -> None:
         head = {"magic": MAGIC, "version": VERSION, "model": model, "document": doc}
         head["checksum"] = _checksum(temp, head)
         (temp / "head.json").write_text(json.dumps(head))
-        if path.exists():
-            shutil.rmtree(path)
-        os.replace(temp, path)
-    finally:
+        for file in temp.iterdir():
+            _sync(file)
+        _sync(temp)
+        link = path.with_name(f".{path.name}.{uuid.uuid4().hex}")
+        link.symlink_to(temp.name, target_is_directory=True)
+        if path.is_dir() and not path.is_symlink():  # of an earlier form: a folder can't be replaced at once
+            os.replace(path, path.with_name(f"{temp.name}.old"))
+        before = path.resolve() if path.is_symlink() else path.with_name(f"{temp.name}.old")
+        os.replace(link, path)
+        _sync(path.parent)
+        shutil.rmtree(before, ignore_errors=True)
+    except BaseException:
         shutil.rmtree(temp, ignore_errors=True)
+        raise
+
+
+def _sync(path: Path) -> None:
+    handle = os.open(path, os.O_RDONLY)
+    try:
+        os.fsync(handle)
+    finally:
+        os.close(handle)
 
 
 def load(path: str | Path) -> TokenizerSpec:
     """Read a snapshot; checks come in the order magic, version, checksum, content."""
     path = Path(path)
     try:
+        path = path.resolve(strict=True)
+        if sum(f.stat().st_size for f in path.iterdir()) > LARGEST:
+            raise SnapshotError(f"{path} has more than {LARGEST} bytes")
         head = json.loads((path / "head.json").read_text())
         if head.get("magic") != MAGIC:
             raise SnapshotError(f"{path} isn't a snapshot")
