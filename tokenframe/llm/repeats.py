@@ -16,6 +16,11 @@ sample the same shift, and about 2 positions in `span - k + 2` are sampled inste
    are named one by one and merged with those of the other classes under the name: in one place
    where the name has at most GATHERED classes; where it has more, by cells of CELL windows which
    are named and settled by class as in 2, and by a hash aggregation of what remains.
+With `doubling` (word windows) the substrings are a quarter of the window, and each run of windows
+that samples one is extended to twice the length inside all of its windows: to the right, or, for
+windows that end too early, to the left. Only what repeats at the first length is looked up at
+the second, and only what repeats there goes on to the full length.
+
 4. Equal names are adjacent after the sort; each repeat is reported with its class's first place.
 
 Every grouping is a hash aggregation with map-side combine or an equi-join that AQE may split; no
@@ -115,12 +120,15 @@ def sliding_least(v: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(behind[: n - w + 1], ahead[w - 1 : n])
 
 
-def runs(values: np.ndarray, at: np.ndarray, k: int, span: int):
+def runs(values: np.ndarray, at: np.ndarray, k: int, span: int, doubling: bool = False):
     """Runs of windows that sample the same position, in documents values[at[i]:at[i+1]]: arrays of
-    document, first and last window start (in the document), first and second name."""
+    document, first and last window start (in the document), first and second name; with `doubling`
+    runs are parted by the side on which they are extended, and there are the name of twice the length and
+    whether the run is the first of its position."""
     none = np.zeros(0, np.int64)
+    nothing = (none, none, none, none.view(U), none.view(U), *((none.view(U), none.astype(bool)) if doubling else ()))
     if len(values) < span:
-        return none, none, none, none.view(U), none.view(U)
+        return nothing
     h = Hashes(values)
     v = (h.all(k) & U(0xFFFFFFFF00000000)) | np.arange(len(values) - k + 1, dtype=U)
     sampled = (sliding_least(v, span - k + 1) & U(0xFFFFFFFF)).astype(np.int64)
@@ -130,14 +138,21 @@ def runs(values: np.ndarray, at: np.ndarray, k: int, span: int):
     np.add.at(inside, at[long_ + 1] - span + 1, -1)
     p = np.flatnonzero(np.cumsum(inside)[: len(sampled)] > 0)
     if len(p) == 0:
-        return none, none, none, none.view(U), none.view(U)
+        return nothing
     s = sampled[p]
     head = np.flatnonzero(np.diff(s, prepend=-1))
     tail = np.append(head[1:], len(p)) - 1
     lo, hi, s = p[head], p[tail], s[head]
+    first = np.ones(len(s), bool)
+    if doubling:  # windows that reach 2k units beyond the sampled position, and the others
+        edge = s - (span - 2 * k)
+        right, left = np.flatnonzero(hi >= edge), np.flatnonzero(lo < edge)
+        longer = np.concatenate([mixed(h.of(s[right], s[right] + 2 * k) ^ U(1)), mixed(h.of(s[left] - k, s[left] + k) ^ U(2))])
+        first = np.concatenate([np.ones(len(right), bool), hi[left] < edge[left]])
+        lo, hi, s = np.concatenate([np.maximum(lo, edge)[right], lo[left]]), np.concatenate([hi[right], np.minimum(hi, edge - 1)[left]]), np.concatenate([s[right], s[left]])
     doc = np.searchsorted(at, lo, "right") - 1
     second = mixed(h.of(lo, hi + span) ^ mixed((s - lo).astype(U) << U(32) | (hi - lo).astype(U)))
-    return doc, lo - at[doc], hi - at[doc], h.of(s, s + k), second
+    return doc, lo - at[doc], hi - at[doc], h.of(s, s + k), second, *((longer, first) if doubling else ())
 
 
 def window_names(values: np.ndarray, lo: np.ndarray, hi: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
@@ -177,8 +192,9 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
-def sampled_runs(docs: DataFrame, unit: str, k: int, span: int) -> DataFrame:
-    """(id, lo, hi, name, wide) of all runs of windows; docs has (id, text)."""
+def sampled_runs(docs: DataFrame, unit: str, k: int, span: int, doubling: bool = False) -> DataFrame:
+    """(id, lo, hi, name, wide) of all runs of windows, with `doubling` (longer, first) too; docs has
+    (id, text)."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim(repeated)
@@ -187,21 +203,31 @@ def sampled_runs(docs: DataFrame, unit: str, k: int, span: int) -> DataFrame:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for i, j in blocks(offsets, BLOCK):
                 own = offsets[i : j + 1]
-                doc, lo, hi, name, wide = runs(*_values(unit, data[own[0] : own[-1]], own - own[0]), k, span)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[i:j][doc], pa.int64()), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), _signed(name), _signed(wide)], ["id", "lo", "hi", "name", "wide"])
+                doc, lo, hi, name, wide, *more = runs(*_values(unit, data[own[0] : own[-1]], own - own[0]), k, span, doubling)
+                columns = [pa.array(ids[i:j][doc], pa.int64()), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), _signed(name), _signed(wide)]
+                if doubling:
+                    columns += [_signed(more[0]), pa.array(more[1])]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "lo", "hi", "name", "wide", "longer", "first"][: len(columns)])
 
-    return docs.select("id", "text").mapInArrow(scan, "id long, lo int, hi int, name long, wide long")
+    return docs.select("id", "text").mapInArrow(scan, "id long, lo int, hi int, name long, wide long" + ", longer long, first boolean" * doubling)
 
 
-def repeated(docs: DataFrame, unit: str, k: int, span: int, keep_first: bool) -> DataFrame:
+def repeated(docs: DataFrame, unit: str, k: int, span: int, keep_first: bool, doubling: bool = False) -> DataFrame:
     """(id, spans array<struct<lo, hi>>): starts of the windows of `span` units which are repeats.
 
     With keep_first, a window is a repeat if an equal one starts earlier (less id, or same id and
     less start); else if an equal one starts anywhere else. docs: (id long, unique; text).
+    With `doubling`, k is a quarter of span, and names double to half of it before windows compare.
     """
-    scanned = sampled_runs(docs, unit, k, span)
-    names = cut(scanned.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select(F.col("name").alias("name2")))
-    found = cut(scanned.join(names, F.col("name") == F.col("name2"), "left_semi"))
+    scanned = sampled_runs(docs, unit, k, span, doubling)
+    seen = F.count(F.when(F.col("first"), 1)) if doubling else F.count("*")  # positions that have the name
+    names = cut(scanned.groupBy("name").agg(seen.alias("n")).where("n > 1").select(F.col("name").alias("name2")))
+    found = scanned.join(names, F.col("name") == F.col("name2"), "left_semi")
+    if doubling:
+        found = cut(found.select("id", "lo", "hi", F.col("longer").alias("name"), "wide"))
+        names = cut(found.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select(F.col("name").alias("name2")))
+        found = found.join(names, F.col("name") == F.col("name2"), "left_semi")
+    found = cut(found)
     place = F.struct("id", "lo", "hi")
     classes = cut(found.groupBy("name", "wide").agg(F.count("*").alias("n"), F.min(place).alias("first")))
     several = classes.groupBy(F.col("name").alias("name2")).agg(F.count("*").alias("k")).where("k > 1")

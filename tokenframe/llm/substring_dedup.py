@@ -1,9 +1,10 @@
 """Removal of repeated word windows by level-wise doubling.
 
-Windows of half the final length are named first, at the sampled positions of `repeats`; those that
-occur once end there. The ones that repeat are extended to the full length, and what repeats at
-that length is removed but for its first occurrence. Windows below half length would have no
-survivors to spare: sampling already leaves one position in six at the first level.
+The first level names substrings of a quarter of the final length (5 words), at the positions that
+`repeats` samples: two or so in each window, the same in equal windows. Those that occur once end there.
+The survivors are extended to twice the length (10 words) inside their windows; those whose extension
+occurs once end in turn, and only what is left is compared at the full length (20 words). What
+repeats at that length is removed but for its first occurrence.
 """
 
 from __future__ import annotations
@@ -30,7 +31,8 @@ def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
     are documents in the order of their texts' hashes; null ids come first.
     """
     own = numbered(docs.select(id_col, text_col), id_col, text_col)
-    spans = repeated(own.select("id", "text"), "word", window // 2, window, keep_first=True)
+    doubling = window >= 4
+    spans = repeated(own.select("id", "text"), "word", window // 4 if doubling else 1, window, keep_first=True, doubling=doubling)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
