@@ -16,11 +16,10 @@ from pyspark.sql import functions as F
 
 from ..errors import TokenizerError
 from ..sources.spec import TokenizerSpec
-from .batch import gather, list_array, rows_of
-from .tokenizer import Encoding, Tokenizer
+from .batch import Lists, chunks, gather, in_chunks, list_array, rows_of
+from .tokenizer import Tokenizer
 
 IDS = pa.list_(pa.int32())
-ENCODING = "struct<ids:array<int>,attention_mask:array<int>,type_ids:array<int>,special_tokens_mask:array<int>,n_sequences:int,truncated:boolean>"
 _built: dict[str, Tokenizer] = {}
 
 
@@ -47,11 +46,13 @@ def ids(text: Column, spec: TokenizerSpec, add_special_tokens: bool = True) -> C
 
 def ids_of(column: pa.Array, t: Tokenizer, add_special_tokens: bool = True) -> pa.Array:
     """The ids of a batch of texts."""
-    offsets, found = t.content_lists(column.to_pylist())
-    null = np.asarray(column.is_null())
-    for template in t.templates if add_special_tokens else ():
-        offsets, found = template.apply_all(offsets, found)
-    return list_array(offsets, found, null)
+    out = Lists()
+    for part in chunks(column):
+        offsets, found = t.content_lists(part.to_pylist())
+        for template in t.templates if add_special_tokens else ():
+            offsets, found = template.apply_all(offsets, found)
+        out.add(offsets, found, np.asarray(part.is_null()))
+    return out.array()
 
 
 def ids_or_error(text: Column, spec: TokenizerSpec, add_special_tokens: bool = True) -> Column:
@@ -61,15 +62,19 @@ def ids_or_error(text: Column, spec: TokenizerSpec, add_special_tokens: bool = T
     @F.arrow_udf("struct<ids:array<int>,error:string>")
     def run(column: pa.Array) -> pa.Array:
         t = tokenizer_of(doc)
-        got, said = [], []
-        for x in column.to_pylist():
-            try:
-                got.append(None if x is None else t.ids(x, add_special_tokens))
-                said.append(None)
-            except TokenizerError as e:
-                got.append(None)
-                said.append(str(e))
-        return pa.StructArray.from_arrays([pa.array(got, IDS), pa.array(said, pa.string())], ["ids", "error"])
+
+        def of(part: pa.Array) -> pa.Array:
+            got, said = [], []
+            for x in part.to_pylist():
+                try:
+                    got.append(None if x is None else t.ids(x, add_special_tokens))
+                    said.append(None)
+                except TokenizerError as e:
+                    got.append(None)
+                    said.append(str(e))
+            return pa.StructArray.from_arrays([pa.array(got, IDS), pa.array(said, pa.string())], ["ids", "error"])
+
+        return in_chunks(column, of)
 
     return run(text)
 
@@ -82,7 +87,7 @@ def rejections(text: Column, spec: TokenizerSpec) -> Column:
     def run(column: pa.Array) -> pa.Array:
         t = tokenizer_of(doc)
         said = []
-        for x in column.to_pylist():
+        for x in (x for part in chunks(column) for x in part.to_pylist()):
             try:
                 said.append(None if x is None else t.validate(x))
             except TokenizerError as e:
@@ -98,27 +103,40 @@ def limited(text: Column, spec: TokenizerSpec, most: int, direction: str = "righ
 
     @F.arrow_udf("struct<ids:array<int>,truncated:boolean>")
     def run(column: pa.Array) -> pa.Array:
-        t = tokenizer_of(doc)
-        rows = _mapped(column, lambda x: t.with_limit(x, most, direction))
-        return pa.array([r and {"ids": r[0], "truncated": r[1]} for r in rows], pa.struct([("ids", IDS), ("truncated", pa.bool_())]))
+        return limits_of(column, tokenizer_of(doc), most, direction, False)
 
     return run(text)
 
 
-def encodings(text: Column, spec: TokenizerSpec, add_special_tokens: bool = True, pad: bool = True) -> Column:
-    """Encoding struct: truncated, post-processed and, with `pad`, padded row by row."""
+def truncated(text: Column, spec: TokenizerSpec, add_special_tokens: bool = True) -> Column:
+    """Struct (ids, truncated): truncated as the specification says, and post-processed."""
     doc = spec.to_json()
 
-    @F.arrow_udf(ENCODING)
+    @F.arrow_udf("struct<ids:array<int>,truncated:boolean>")
     def run(column: pa.Array) -> pa.Array:
         t = tokenizer_of(doc)
-        rows: list[Encoding | None] = _mapped(column, lambda x: t.encode(x, add_special_tokens, pad))
-        kind = pa.struct([(k, IDS) for k in ("ids", "attention_mask", "type_ids", "special_tokens_mask")] + [("n_sequences", pa.int32()), ("truncated", pa.bool_())])
-        return pa.array([r and vars(r) for r in rows], kind)
+        return limits_of(column, t, t.room(add_special_tokens), t.spec.truncation.direction if t.spec.truncation else "right", add_special_tokens)
 
     return run(text)
 
 
+def limits_of(column: pa.Array, t: Tokenizer, most: int | None, direction: str, add_special_tokens: bool) -> pa.Array:
+    """At most `most` ids of each text of a batch, with the templates around them, and whether any were left out."""
+    out, over = Lists(), []
+    for part in chunks(column):
+        offsets, found = t.content_lists(part.to_pylist())
+        size = np.diff(offsets)
+        kept = size if most is None else np.minimum(size, most)
+        over.append(size > kept)
+        found = gather(found, offsets[:-1] if direction == "right" else offsets[1:] - kept, kept)
+        offsets = np.concatenate([[0], np.cumsum(kept)])
+        for template in t.templates if add_special_tokens else ():
+            offsets, found = template.apply_all(offsets, found)
+        out.add(offsets, found, np.asarray(part.is_null()))
+    over = np.concatenate(over) if over else np.zeros(0, bool)
+    return pa.StructArray.from_arrays([out.array(), pa.array(over)], ["ids", "truncated"], mask=column.is_null())
+
+
 def segments(text: Column, spec: TokenizerSpec) -> Column:
     """array<struct<text, token_id>>: normalized text and the added tokens in it."""
     return _listed(text, spec, "segments")
@@ -148,7 +166,7 @@ def normalized(text: Column, spec: TokenizerSpec) -> Column:
     @F.arrow_udf("string")
     def run(column: pa.Array) -> pa.Array:
         f = tokenizer_of(doc).normalize
-        return pa.array(_mapped(column, lambda x: f(x) if x else x), pa.string())
+        return in_chunks(column, lambda part: pa.array(_mapped(part, lambda x: f(x) if x else x), pa.string()))
 
     return run(text)
 
@@ -159,14 +177,16 @@ def pieces_ids(pieces: Column, spec: TokenizerSpec) -> Column:
 
     @F.arrow_udf("array<int>")
     def run(column: pa.Array) -> pa.Array:
-        ends, flat, null = rows_of(column)
-        words = flat.fill_null("").dictionary_encode()
-        slots = tokenizer_of(doc).raw_slots
-        own, found = slots.lists(words.dictionary.to_pylist(), np.arange(1, len(words.dictionary) + 1))
-        at = words.indices.to_numpy(zero_copy_only=False)
-        size = np.diff(own)[at] if len(at) else np.zeros(0, np.int64)
-        upto = np.concatenate([[0], np.cumsum(size)])
-        return list_array(np.concatenate([[0], upto[ends]]), gather(found, own[at], size), null)
+        out, slots = Lists(), tokenizer_of(doc).raw_slots
+        for part in chunks(column):
+            ends, flat, null = rows_of(part)
+            words = flat.fill_null("").dictionary_encode()
+            own, found = slots.lists(words.dictionary.to_pylist(), np.arange(1, len(words.dictionary) + 1))
+            at = words.indices.to_numpy(zero_copy_only=False)
+            size = np.diff(own)[at] if len(at) else np.zeros(0, np.int64)
+            upto = np.concatenate([[0], np.cumsum(size)])
+            out.add(np.concatenate([[0], upto[ends]]), gather(found, own[at], size), null)
+        return out.array()
 
     return run(pieces)
 
@@ -186,10 +206,15 @@ def texts_of(column: pa.Array, t: Tokenizer, skip_special_tokens: bool = False)
     """The decoded texts of a batch of id lists."""
     table = t.byte_table(skip_special_tokens)
     if table is None:
-        return pa.array(_mapped(column, lambda x: t.decode(x, skip_special_tokens)), pa.string())
-    ends, flat, null = rows_of(column)
-    said = table.texts(ends, flat.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64))
-    return pa.array(said, pa.string(), mask=null)
+        return in_chunks(column, lambda part: pa.array(_mapped(part, lambda x: t.decode(x, skip_special_tokens)), pa.string()))
+
+    def run(part: pa.Array) -> pa.Array:
+        ends, flat, null = rows_of(part)
+        said = table.texts(ends, flat.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64))
+        said = [t.decode(part[i].as_py() or (), skip_special_tokens) if x is None else x for i, x in enumerate(said)]
+        return pa.array(said, pa.string(), mask=null)
+
+    return in_chunks(column, run)
 
 
 def decoded_tokens(values: Column, spec: TokenizerSpec) -> Column:
@@ -199,7 +224,7 @@ def decoded_tokens(values: Column, spec: TokenizerSpec) -> Column:
     @F.arrow_udf("string")
     def run(column: pa.Array) -> pa.Array:
         t = tokenizer_of(doc)
-        return pa.array(_mapped(column, t.decode_tokens), pa.string())
+        return in_chunks(column, lambda part: pa.array(_mapped(part, t.decode_tokens), pa.string()))
 
     return run(values)
 

@@ -8,12 +8,14 @@ worker's memory is bounded.
 from __future__ import annotations
 
 from array import array
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 MOST_SLOTS, MOST_IDS = 1 << 18, 1 << 22
+CHUNK = 1 << 20  # bytes of text, or items of lists, that are worked on at once
 
 
 def gather(values: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -62,7 +64,7 @@ class Slots:
 def list_array(offsets: np.ndarray, ids: np.ndarray, null: np.ndarray | None = None) -> pa.Array:
     """array<int>; rows of `null` have no list."""
     mask = pa.array(null) if null is not None and null.any() else None
-    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids.astype(np.int32)), mask=mask)
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids.astype(np.int32, copy=False)), mask=mask)
 
 
 def rows_of(column: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
@@ -72,10 +74,44 @@ def rows_of(column: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     return np.cumsum(size), column.flatten(), null
 
 
+def chunks(column: pa.Array) -> Iterator[pa.Array]:
+    """A batch in slices of about CHUNK: what is made of one slice goes before the next, so that a worker holds
+    little beside the batch and its result, however many rows a batch has and however long they are."""
+    size = (pc.list_value_length if pa.types.is_list(column.type) else pc.binary_length)(column).fill_null(0).to_numpy(zero_copy_only=False)
+    upto = np.cumsum(size.astype(np.int64) + 1)
+    cuts = np.searchsorted(upto, np.arange(CHUNK, upto[-1] if len(upto) else 0, CHUNK)) + 1
+    ends = np.unique([0, *cuts.tolist(), len(column)]).tolist()
+    yield from (column.slice(i, j - i) for i, j in zip(ends, ends[1:]))
+
+
+def in_chunks(column: pa.Array, f: Callable[[pa.Array], pa.Array]) -> pa.Array:
+    """f over the slices of a batch, put together."""
+    parts = [f(x) for x in chunks(column)]
+    return pa.concat_arrays(parts) if len(parts) > 1 else parts[0] if parts else f(column)
+
+
+class Lists:
+    """array<int> of a batch, put together slice by slice in one growing array."""
+
+    def __init__(self):
+        self.values, self.size, self.null = array("i"), [], []
+
+    def add(self, offsets: np.ndarray, ids: np.ndarray, null: np.ndarray) -> None:
+        self.values.frombytes(ids.astype(np.int32).view(np.uint8))
+        self.size.append(np.diff(offsets))
+        self.null.append(null)
+
+    def array(self) -> pa.Array:
+        size, null = (np.concatenate(x) if x else np.zeros(0, k) for x, k in ((self.size, np.int64), (self.null, bool)))
+        return list_array(np.concatenate([[0], np.cumsum(size)]), np.frombuffer(self.values, np.int32) if len(self.values) else np.zeros(0, np.int32), null)
+
+
 class ByteTable:
-    """The bytes of every id, for decoders that only put bytes together."""
+    """The bytes of every id, for decoders that only put bytes together. With `strict` a row whose bytes are no
+    text comes out as None."""
 
-    def __init__(self, spelled: dict[int, bytes]):
+    def __init__(self, spelled: dict[int, bytes], strict: bool = False):
+        self.strict = strict
         n = max(spelled, default=-1) + 1
         self.size = np.zeros(n + 1, np.int64)  # the last is that of ids which nothing has
         for i, b in spelled.items():
@@ -83,9 +119,20 @@ class ByteTable:
         self.first = np.cumsum(self.size) - self.size
         self.data = np.frombuffer(b"".join(spelled[i] for i in sorted(spelled)), np.uint8)
 
-    def texts(self, ends: np.ndarray, ids: np.ndarray) -> Iterable[str]:
+    def texts(self, ends: np.ndarray, ids: np.ndarray) -> list[str | None]:
         ids = np.where((ids >= 0) & (ids < len(self.size) - 1), ids, len(self.size) - 1)
         size = self.size[ids]
         raw = gather(self.data, self.first[ids], size).tobytes()
         upto = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], ends])].tolist()
-        return [raw[i:j].decode("utf-8", "replace") for i, j in zip(upto, upto[1:])]
+        return [(_text if self.strict else _mended)(raw[i:j]) for i, j in zip(upto, upto[1:])]
+
+
+def _mended(raw: bytes) -> str:
+    return raw.decode("utf-8", "replace")
+
+
+def _text(raw: bytes) -> str | None:
+    try:
+        return raw.decode()
+    except UnicodeDecodeError:
+        return None

@@ -27,6 +27,7 @@ from .offsets import running_offsets
 from .storage import stored
 
 FOLD_LIMIT = 500  # merges that one expression folds over
+FEW_BATCHES = 1 << 16  # batches whose longest lengths are broadcast
 
 
 class Engine:
@@ -131,7 +132,15 @@ class Engine:
         return arrow.limited(text, self.spec, most, direction)
 
     def encode(self, text: Column, add_special_tokens: bool = True, pad: bool = True) -> Column:
-        return arrow.encodings(text, self.spec, add_special_tokens, pad)
+        """Struct of an encoding, padded row by row: a worker gives the ids, and the lists beside them are Catalyst's."""
+        own = arrow.truncated(text, self.spec, add_special_tokens)
+        return self._padded(own, None) if pad and self.spec.padding else F.when(own.isNotNull(), C.encoding(own["ids"], own["truncated"]))
+
+    def _padded(self, own: Column, longest: Column | None) -> Column:
+        """The encoding of (ids, truncated), padded as the specification says."""
+        p = self.spec.padding
+        target = C.pad_target(F.size(own["ids"]), p.length if p.length is not None else longest, p.pad_to_multiple_of)
+        return F.when(own.isNotNull(), C.pad_encoding(C.encoding(own["ids"], own["truncated"]), target, p.direction, p.pad_id, p.pad_type_id))
 
     def decode(self, ids: Column, skip_special_tokens: bool = False) -> Column:
         return arrow.decoded(ids, self.spec, skip_special_tokens)
@@ -143,17 +152,17 @@ class Engine:
 
     def encode_batch(self, df: DataFrame, text_col: str = "text", batch_col: str | None = None, out: str = "encoding", add_special_tokens: bool = True) -> DataFrame:
         """df with an encoding for each row. Where padding goes to the longest row, that is the longest
-        of the rows with the same batch_col; the encodings are stored, the longest lengths are found by
-        a combined aggregate and joined back, so a batch may be of any size."""
+        of the rows with the same batch_col; the ids alone are stored, the longest lengths are found by
+        a combined aggregate and joined back, so a batch may be of any size: where there are few batches their
+        lengths go to all rows, where there are many the rows go to them."""
         p = self.spec.padding
         if p is None or p.length is not None or batch_col is None:
             return df.withColumn(out, self.encode(F.col(text_col), add_special_tokens))
-        own = stored(df.withColumn(out, self.encode(F.col(text_col), add_special_tokens, pad=False)))
-        longest = own.groupBy(F.col(batch_col).alias("__batch")).agg(F.max(F.size(F.col(out).ids)).alias("__longest"))
+        own = stored(df.withColumn(out, arrow.truncated(F.col(text_col), self.spec, add_special_tokens)))
+        longest = stored(own.groupBy(F.col(batch_col).alias("__batch")).agg(F.max(F.size(F.col(out).ids)).alias("__longest")))
+        longest = F.broadcast(longest) if longest.limit(FEW_BATCHES + 1).count() <= FEW_BATCHES else longest
         own = own.join(longest, F.col(batch_col).eqNullSafe(F.col("__batch")))
-        target = C.pad_target(F.size(F.col(out).ids), F.col("__longest"), p.pad_to_multiple_of)
-        padded = F.when(F.col(out).isNotNull(), C.pad_encoding(F.col(out), target, p.direction, p.pad_id, p.pad_type_id))
-        return own.withColumn(out, padded).drop("__batch", "__longest")
+        return own.withColumn(out, self._padded(F.col(out), F.col("__longest"))).drop("__batch", "__longest")
 
     def ragged(self, df: DataFrame, key_col: str, text_col: str = "text", add_special_tokens: bool = True) -> DataFrame:
         """key, pos, token_id: a row for each id, in the long form of a ragged batch."""
@@ -165,7 +174,7 @@ class Engine:
         if key_col in ("ids", "start", "end"):
             raise ValueError(f"the key can't be named {key_col}: the result has a column of that name")
         t = self.spec.truncation
-        ids = self.ids(F.col(text_col), add_special_tokens) if t is None else arrow.encodings(F.col(text_col), self.spec, add_special_tokens, False)["ids"]
+        ids = self.ids(F.col(text_col), add_special_tokens) if t is None else arrow.truncated(F.col(text_col), self.spec, add_special_tokens)["ids"]
         own = df.select(F.col(key_col), ids.alias("ids")).withColumn("__n", F.size("ids").cast("long"))
         return running_offsets(own, key_col, "__n").drop("__n")
 
