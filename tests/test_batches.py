@@ -74,3 +74,13 @@ def test_memory_of_a_batch_is_bounded():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 2 * ids.nbytes + (160 << 20), peak
+
+
+def test_lists_of_long_pieces_are_sliced_by_their_text(monkeypatch):
+    monkeypatch.setattr(batch, "CHUNK", 100)
+    column = pa.array([["x" * 80], None, ["y" * 30, None, "z" * 30], [], ["w"] * 9], pa.list_(pa.string()))
+    parts = list(batch.chunks(column))
+    assert [x for p in parts for x in p.to_pylist()] == column.to_pylist()
+    assert len(parts) == 2 and [len(p) for p in batch.chunks(column.slice(2))] == [3]
+    t = Tokenizer(samples.byte_bpe())
+    assert arrow.ids_of(pa.array([], pa.string()), t).to_pylist() == []

@@ -77,13 +77,22 @@ def rows_of(column: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
 def chunks(column: pa.Array) -> Iterator[pa.Array]:
     """A batch in slices of about CHUNK: what is made of one slice goes before the next, so that a worker holds
     little beside the batch and its result, however many rows a batch has and however long they are."""
-    size = (pc.list_value_length if pa.types.is_list(column.type) else pc.binary_length)(column).fill_null(0).to_numpy(zero_copy_only=False)
-    upto = np.cumsum(size.astype(np.int64) + 1)
+    if pa.types.is_list(column.type):
+        upto, flat, _ = rows_of(column)
+        if not pa.types.is_primitive(flat.type):
+            upto = np.concatenate([[0], np.cumsum(_bytes_of(flat))])[upto] + upto
+    else:
+        upto = np.cumsum(_bytes_of(column))
+    upto = upto + np.arange(1, len(column) + 1)
     cuts = np.searchsorted(upto, np.arange(CHUNK, upto[-1] if len(upto) else 0, CHUNK)) + 1
     ends = np.unique([0, *cuts.tolist(), len(column)]).tolist()
     yield from (column.slice(i, j - i) for i, j in zip(ends, ends[1:]))
 
 
+def _bytes_of(texts: pa.Array) -> np.ndarray:
+    return pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
 def in_chunks(column: pa.Array, f: Callable[[pa.Array], pa.Array]) -> pa.Array:
     """f over the slices of a batch, put together."""
     parts = [f(x) for x in chunks(column)]
