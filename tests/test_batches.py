@@ -84,3 +84,26 @@ def test_lists_of_long_pieces_are_sliced_by_their_text(monkeypatch):
     assert len(parts) == 2 and [len(p) for p in batch.chunks(column.slice(2))] == [3]
     t = Tokenizer(samples.byte_bpe())
     assert arrow.ids_of(pa.array([], pa.string()), t).to_pylist() == []
+
+
+def test_pieces_unspelled_and_folded(spark):
+    from tokenframe.functions import columns as C
+    from tokenframe.functions.pretokenizers import byte_chars
+    from tokenframe.plans import queries as Q
+
+    rows = [["".join(map(chr, range(128)))], ["é", "漢字😀", "", "the"], [], None, ["".join(C.SEPARATORS), "then", "the", "n ing", "\x00é", "Ã©"], ["\\1$1", "th", "e"]]
+    df = spark.createDataFrame([(i, r, None if r is None else [byte_chars(p) for p in r]) for i, r in enumerate(rows)], "i int, p array<string>, s array<string>")
+    one = lambda p: C.bpe_fold(F.filter(F.split(C.byte_hex(p), "(?<=\\G..)"), lambda s: s != ""), Q.MERGES)
+    got = df.select("p", F.transform("s", Q._unspelled).alias("hex"), C.bpe_fold_pieces(F.col("p"), Q.MERGES).alias("tokens"), F.flatten(F.transform("p", one)).alias("one")).collect()
+    for r in got:
+        assert r.hex == (None if r.p is None else [p.encode().hex().upper() for p in r.p])
+        assert r.tokens == r.one
+    plan = Q.QUERIES["bpe_tokens_catalyst"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "(?<=" not in plan, "merges go over whole texts, not over each piece"
+
+
+def test_pairs_are_made_column_by_column():
+    t = Tokenizer(samples.minimal(added_tokens=[{"id": 7, "content": "the", "single_word": True}]))
+    got = arrow.pairs_of(pa.array(TEXTS, pa.string()), t.segments).to_pylist()
+    assert got == [None if x is None else [{"text": s, "token_id": i} for s, i in t.segments(x)] for x in TEXTS]
+    assert arrow.pairs_of(pa.array([None, None], pa.string()).slice(1), t.segments).to_pylist() == [None]

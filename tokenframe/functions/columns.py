@@ -165,6 +165,20 @@ def bpe_fold(symbols: Column, merges: list[tuple[str, str]]) -> Column:
     return F.filter(F.split(F.translate(merged, OPEN, ""), CLOSE), lambda t: t != "")
 
 
+def bpe_fold_pieces(pieces: Column, merges: list[tuple[str, str]]) -> Column:
+    """array<string>: the tokens, in hex, of the bytes of several pieces, by one pass over the merges for all of them.
+    merges: pairs of bytes in hex, short and rank-topological as for bpe_fold. A byte is a character of
+    latin-1 and each merge has a character behind them, so that a merge replaces two characters by one; a
+    last one keeps the pieces apart."""
+    code = {f"{b:02X}": b for b in range(256)} | {a + b: 256 + r for r, (a, b) in enumerate(merges)}
+    apart = chr(256 + len(merges))
+    text = F.array_join(F.transform(pieces, lambda p: F.decode(F.encode(p, "UTF-8"), "ISO-8859-1")), apart)
+    table = F.array(*[F.struct(F.lit(chr(code[a]) + chr(code[b])).alias("pair"), F.lit(chr(code[a + b])).alias("one")) for a, b in merges])
+    merged = F.aggregate(table, text, lambda t, m: F.replace(t, m["pair"], m["one"])) if merges else text
+    names = F.array(*[F.lit(t) for t in code])
+    return F.transform(not_empty(F.split(F.replace(merged, F.lit(apart), F.lit("")), F.lit(""))), lambda c: F.get(names, F.ascii(c)))
+
+
 def template(ids: Column, parts) -> Column:
     """ids with the template's special ids around them; None stands for the content."""
     return F.concat(*[ids if p is None else F.array(*[F.lit(i) for i in p]).cast("array<int>") for p in parts if p is None or p]) if any(p is None or p for p in parts) else F.slice(ids, 1, 0)

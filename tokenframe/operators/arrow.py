@@ -149,16 +149,27 @@ def pieces(text: Column, spec: TokenizerSpec) -> Column:
 
 def _listed(text: Column, spec: TokenizerSpec, method: str) -> Column:
     doc = spec.to_json()
-    kind = pa.list_(pa.struct([("text", pa.string()), ("token_id", pa.int32())]))
 
     @F.arrow_udf("array<struct<text:string,token_id:int>>")
     def run(column: pa.Array) -> pa.Array:
         of = getattr(tokenizer_of(doc), method)
-        return pa.array(_mapped(column, lambda x: [{"text": t, "token_id": i} for t, i in of(x)]), kind)
+        return in_chunks(column, lambda part: pairs_of(part, of))
 
     return run(text)
 
 
+def pairs_of(column: pa.Array, of: Callable[[str], list[tuple[str, int | None]]]) -> pa.Array:
+    """array<struct<text, token_id>> of a batch of texts, column by column."""
+    found, ends = [], [0]
+    for x in column.to_pylist():
+        if x:
+            found += of(x)
+        ends.append(len(found))
+    said, own = zip(*found, strict=True) if found else ((), ())
+    both = pa.StructArray.from_arrays([pa.array(said, pa.string()), pa.array(own, pa.int32())], ["text", "token_id"])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), both, mask=column.is_null() if column.null_count else None)
+
+
 def normalized(text: Column, spec: TokenizerSpec) -> Column:
     """The normalizer alone; the empty text stays empty whatever the rules."""
     doc = spec.to_json()

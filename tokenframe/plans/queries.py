@@ -152,9 +152,10 @@ query(f"SELECT piece, CAST(count(*) AS BIGINT) AS n FROM (SELECT unnest({GPT2})
 
 
 def _unspelled(piece: Column) -> Column:
-    """The bytes, in hex, that a byte-level piece spells."""
-    hexes = F.create_map(*[F.lit(x) for b, c in BYTE_CHAR.items() for x in (c, f"{b:02X}")])
-    return F.array_join(F.transform(F.split(piece, ""), lambda c: F.element_at(hexes, c)), "")
+    """The bytes, in hex, that a byte-level piece spells: each character becomes U+0100 and its byte, whose
+    UTF-16 is 01 and the byte."""
+    bytes_ = F.translate(piece, "".join(BYTE_CHAR.values()), "".join(chr(256 + b) for b in BYTE_CHAR))
+    return F.regexp_replace(F.hex(F.encode(bytes_, "UTF-16BE")), "01(..)", "$1")
 
 
 @query(sql_digest(f"list_transform({GPT2.replace('(text', '(t')}, lambda p: hex(encode(p)))", "(SELECT doc_id, CASE WHEN text = '' OR starts_with(text, ' ') THEN text ELSE ' ' || text END AS t FROM documents)"))
@@ -269,9 +270,7 @@ def bpe(**options) -> Engine:
 
 @query(sql_digest(TOKENS))
 def bpe_tokens_catalyst(spark, sf_dir):
-    pieces = C.grammar(F.col("text"), "gpt2")
-    tokens = F.flatten(F.transform(pieces, lambda p: C.bpe_fold(F.filter(F.split(C.byte_hex(p), "(?<=\\G..)"), lambda s: s != ""), MERGES)))
-    return digest(docs(spark, sf_dir), tokens)
+    return digest(docs(spark, sf_dir), C.bpe_fold_pieces(C.grammar(F.col("text"), "gpt2"), MERGES))
 
 
 query(sql_digest(IDS, sep=" "), "bpe_encode")(lambda spark, d: digest(docs(spark, d), bpe().ids(F.col("text")), sep=" "))
