@@ -120,7 +120,7 @@ class ByteTable:
     text comes out as None."""
 
     def __init__(self, spelled: dict[int, bytes], strict: bool = False):
-        self.strict = strict
+        self.strict, self.spelled = strict, spelled
         n = max(spelled, default=-1) + 1
         self.size = np.zeros(n + 1, np.int64)  # the last is that of ids which nothing has
         for i, b in spelled.items():
